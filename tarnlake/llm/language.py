@@ -17,7 +17,7 @@ TRAIN_CHARS = 3_000_000
 ORDER = 3
 UNKNOWN = "und"
 #: The pipeline rejects texts that cost over so many times the bits a byte of their language's training texts.
-REJECT_RATIO = 1.9
+REJECT_RATIO = 4.0
 
 
 @dataclass
