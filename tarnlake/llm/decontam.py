@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import BROADCAST_ROWS
+from tarnlake.llm.common import BROADCAST_ROWS, durable
 
 #: A window of so many words, of which at least NEED stand in both texts at the same distance.
 WINDOW, NEED = 13, 11
@@ -35,7 +35,8 @@ def seeds(table: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> DataFra
         arrays.append(F.when(places >= 0, hit).otherwise(F.array().cast("array<bigint>")))
         sizes.append(F.greatest(places + 1, F.lit(0)))
     out = hashed.select(key, F.size(h).alias("n"), F.concat(*arrays).alias("all"))
-    out = out.select(key, "n", F.posexplode("all").alias("at", "seed"))
+    # outer: else Spark infers a filter on the array and pushes it down, hashes inlined, below its own projection
+    out = out.select(key, "n", F.posexplode_outer("all").alias("at", "seed")).where("seed is not null")
     at, before = F.col("at"), F.lit(0)
     place = at
     for mask in masks[:-1]:
@@ -60,7 +61,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first, start = F.greatest(-F.col("shift"), F.lit(0)), F.greatest(F.col("shift"), F.lit(0))
     length = F.least(F.size("v") - first, F.size("w") - start)
     same = F.zip_with(F.slice("v", first + 1, length), F.slice("w", start + 1, length), lambda a, b: (a == b).cast("int"))
-    pairs = pairs.select("doc_id", "item_id", F.size("v").alias("n"), same.alias("same"))
+    pairs = durable(pairs.select("doc_id", "item_id", F.size("v").alias("n"), same.alias("same")), "aligned")
     window = F.least(F.lit(WINDOW), F.col("n"))
     total = F.aggregate(F.slice("same", 1, window), F.lit(0), lambda s, x: s + x)
     step = lambda s, i: F.struct(  # noqa: E731  the sum of the window that ends at i, and the greatest so far

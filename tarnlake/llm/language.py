@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most training characters per language (a documented bound; rows are chosen by a hash of doc_id, texts are whole).
-TRAIN_CHARS = 3_000_000
+TRAIN_CHARS = 400_000
 #: Bytes of context at most.
 ORDER = 3
 UNKNOWN = "und"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnlake.llm.common import workspace
+from tarnlake.llm.common import small_broadcast, workspace
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: Texts of so many characters are encoded before a batch of rows is handed on.
@@ -72,32 +72,39 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     }).parquet(folder)
 
 
+def part_offsets(files: DataFrame) -> DataFrame:
+    """(at_part, before): ids in all files before each one; one row a file."""
+    per_part = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return small_broadcast(per_part.select(F.col("part").alias("at_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+
+
 def read_tokens(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
     """Rows of the files with `start`, the number of ids of all documents before; only `columns` are read."""
     files = spark.read.schema(SCHEMA).parquet(folder)
-    per_part = files.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    offsets = per_part.select(F.col("part").alias("__part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    out = files.join(offsets, F.col("part") == F.col("__part")).withColumn("start", F.col("__before") + F.col("part_start"))
+    out = files.join(part_offsets(files), F.col("part") == F.col("at_part")).withColumn("start", F.col("before") + F.col("part_start"))
     return out.select(*(columns or ["doc_id", "start", "n_tokens", "ids"]))
 
 
-def ids_crc32(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) -> (doc_id, start, n_tokens, ids_crc32) of the ids as little-endian unsigned 32-bit integers."""
+def ids_crc32(files: DataFrame) -> DataFrame:
+    """Rows of token files with ids_crc32, of the ids as little-endian unsigned 32-bit integers, instead of the ids."""
+    names = ["doc_id", "part", "part_start", "n_tokens"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             offsets = lists.offsets.to_numpy()
             values = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
             crc = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(crc, pa.int64())], [*names, "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select(*names, "ids").mapInArrow(digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Write the token files of `docs` below the shared folder and return what they hold, one row per document."""
-    folder = workspace(docs.sparkSession, "tokens")
+    spark, folder = docs.sparkSession, workspace(docs.sparkSession, "tokens")
     write_tokens(docs, folder, tokenizer_path, end_id)
-    return ids_crc32(read_tokens(docs.sparkSession, folder))
+    files = spark.read.schema(SCHEMA).parquet(folder)
+    rows = ids_crc32(files).join(part_offsets(files), F.col("part") == F.col("at_part"))
+    return rows.select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -9,11 +9,12 @@ whole by the library.
 from __future__ import annotations
 
 import os
+from struct import pack
 
 import numpy as np
 
 #: Pieces a worker remembers; beyond it the memory starts anew, results do not change.
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 600_000
 _LATIN_END = "ɐ"
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
@@ -73,10 +74,17 @@ class Encoder:
         """A run of Latin letters, with its blank: one word of the model."""
         if self.normalizer is not None:
             word = self.normalizer.normalize_str(word)
-        letters = self.letters
-        return np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))], "<u4").tobytes()
+        if word.isascii():
+            spelled = "Ġ" + word[1:] if word[0] == " " else word
+        else:
+            letters = self.letters
+            spelled = "".join([letters[b] for b in word.encode()])
+        return pack("<%dI" % len(found), *[t.id for t in found]) if (found := self.model.tokenize(spelled)) else b""
 
     def _piece(self, piece: str, blank: str) -> bytes:
+        stem, end = (piece[:-1], self.plain[piece[-1]]) if piece[-1:] in self.plain else (piece, b"")
+        if stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END):
+            return self.words[blank + stem] + end
         if any(mark in piece for mark in self.marks) or not self.spaced and "Σ" in piece:  # its lower case depends on what follows
             raise _Whole
         if self.spaced and (not piece or piece[0].isspace()):
