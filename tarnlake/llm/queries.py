@@ -40,6 +40,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnlake.llm.packing import pack
     from tarnlake.llm.tokens import public_path
@@ -58,6 +64,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tarnlake.llm import decontam
+    from tarnlake.llm import decontam, topk
 
-    return {"op10_decontamination": decontam.SQL}
+    return {"op7_exact_top_k": topk.SQL, "op10_decontamination": decontam.SQL}
