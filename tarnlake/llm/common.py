@@ -14,12 +14,24 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of an Arrow batch at most: texts and sets can be long, and a batch is held whole by Spark and by Python.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def workspace(spark: SparkSession, label: str) -> str:
     """A new folder name below spark.checkpoint.dir; a local temporary folder only where that is unset (tests)."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = os.path.join(tempfile.gettempdir(), "tarnlake-checkpoints")
