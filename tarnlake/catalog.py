@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "universe_rules"
+FLAGSHIP = "dense_price_grid"
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -33,3 +33,11 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def load() -> None:
+    """Import every family once."""
+    from tarnlake.plans import joins  # noqa: F401
+
+
+load()
