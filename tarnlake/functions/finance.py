@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _erf = np.vectorize(math.erf, otypes=[float])
 
@@ -24,12 +25,12 @@ def black76(f, k, t, r, sigma, call):
     return np.exp(-r * t) * sign * (f * _normal(sign * d1) - k * _normal(sign * d2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def black76_price(f: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, sigma: pd.Series, call: pd.Series) -> pd.Series:
     return pd.Series(black76(*(x.to_numpy(float) for x in (f, k, t, r, sigma)), call.to_numpy(bool)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def implied_vol(price: pd.Series, f: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, call: pd.Series) -> pd.Series:
     """Volatility in [1e-4, 5] by halving; NULL where no volatility gives the price."""
     p, f, k, t, r = (x.to_numpy(float) for x in (price, f, k, t, r))
