@@ -57,6 +57,20 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def less(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not in the one column of `ids`; all columns stay, whatever their names."""
+    gone = fresh(docs, "gone")
+    return docs.join(ids.toDF(gone), F.col("doc_id") == F.col(gone), "left_anti")
+
+
 def small_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A broadcast hint behind a count; larger frames keep the shuffle join that Spark picks."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import BROADCAST_ROWS, durable
+from tarnlake.llm.common import BROADCAST_ROWS, durable, less
 
 #: A window of so many words, of which at least NEED stand in both texts at the same distance.
 WINDOW, NEED = 13, 11
@@ -89,8 +89,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of `docs` that share no window with the benchmark; all columns stay."""
-    gone = overlaps(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return less(docs, overlaps(docs, benchmark).select("doc_id").distinct())
 
 
 SQL = r"""

@@ -69,7 +69,9 @@ def fit(samples: list[tuple[str, list[bytes]]], order: int = ORDER) -> Trees:
     context, symbols not seen there cost an escape (method C: distinct symbols over distinct symbols plus count) and are
     coded one order lower, down to equal shares of all bytes."""
     samples = sorted((lang, texts) for lang, texts in samples if any(texts))
-    seen = np.unique(np.concatenate([np.frombuffer(b"".join(texts), np.uint8) for _, texts in samples])) if samples else np.zeros(0, np.uint8)
+    if not samples:
+        return Trees([], np.zeros(256, np.int32), 1, [np.full(1, -1, np.int32)], [np.zeros((0, 0), np.float32)], np.zeros(0))
+    seen = np.unique(np.concatenate([np.frombuffer(b"".join(texts), np.uint8) for _, texts in samples]))
     symbol = np.zeros(256, np.int32)
     symbol[seen] = np.arange(1, len(seen) + 1)
     size, langs = len(seen) + 1, len(samples)
@@ -88,7 +90,7 @@ def fit(samples: list[tuple[str, list[bytes]]], order: int = ORDER) -> Trees:
             for j in range(1, k + 1):
                 code[j:] += data[:-j] * size ** (j - 1)
             grams.append((code * size + data)[place >= k])
-        known = np.unique(np.concatenate([g // size for g in grams])) if grams else np.zeros(0, np.int64)
+        known = np.unique(np.concatenate([g // size for g in grams]))
         row_of = np.full(size**k, -1, np.int32)
         row_of[known] = np.arange(len(known))
         shorter = None
@@ -107,9 +109,6 @@ def fit(samples: list[tuple[str, list[bytes]]], order: int = ORDER) -> Trees:
             bits[:, :, i] = np.where(counts > 0, hit, escape + lower)
         contexts.append(row_of)
         tables.append(bits.reshape(-1, langs))
-    if not samples:
-        tables = [np.zeros((0, 0), np.float32)]
-        contexts = [np.full(1, -1, np.int32)]
     trees = Trees([lang for lang, _ in samples], symbol, size, contexts, tables, np.zeros(langs))
     for i, (_, texts) in enumerate(samples):
         trees.usual[i] = trees.costs(texts)[:, i].sum() / max(1, sum(map(len, texts)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import BROADCAST_ROWS, connected_components, discard, durable
+from tarnlake.llm.common import BROADCAST_ROWS, connected_components, discard, durable, fresh
 
 #: Edits between two lines of a class link; lines below LEAST characters are never touched.
 EDITS, LEAST = 2, 40
@@ -342,11 +342,13 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
 
 def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """`docs` with repeated lines taken out of the text; documents of which nothing but blanks is left go. All columns stay."""
-    gone = dropped_lines(docs, edits, least).groupBy("doc_id").agg(F.collect_set("line").alias("__lines")).withColumnRenamed("doc_id", "__d")
-    rows = docs.join(gone, F.col("doc_id") == F.col("__d"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumn("text", text).where("__lines is null or trim(text) <> ''")
+    key, gone = fresh(docs, "key"), fresh(docs, "gone")
+    found = dropped_lines(docs, edits, least).groupBy("doc_id").agg(F.collect_set("line")).toDF(key, gone)
+    rows = docs.join(found, F.col("doc_id") == F.col(key), "left")
+    same = F.col(gone).isNull()
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    columns = {"text": F.when(same, F.col("text")).otherwise(F.array_join(kept, "\n"))}
+    rows = rows.withColumns(columns).where(same | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

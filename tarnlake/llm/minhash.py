@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import BROADCAST_ROWS, connected_components, discard, durable
+from tarnlake.llm.common import BROADCAST_ROWS, connected_components, discard, durable, less
 
 
 
@@ -233,5 +233,4 @@ def near_duplicates(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
 
 def keep_one(docs: DataFrame, plan: Plan = STAGE) -> DataFrame:
     """Rows of `docs` less all but the first document of each near-duplicate group; all columns stay."""
-    gone = near_duplicates(docs, plan).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return less(docs, near_duplicates(docs, plan).where("not kept").select("doc_id"))
