@@ -253,7 +253,7 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(rng.standard_normal(6), 1)]) for i in range(150)]
-    rows += [(150, None), (151, [float("nan")] * 6), (152, [1.0, None, 0, 0, 0, 0]), (153, [0.0] * 6), (154, rows[0][1]), (155, rows[3][1]), (200, [9.0, 1.0])]
+    rows += [(150, None), (151, [float("nan")] * 6), (152, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (153, [0.0] * 6), (154, rows[0][1]), (155, rows[3][1]), (200, [9.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     vectors = {i: np.floor(np.pad(np.array(v, np.float32).astype(float), (0, 6 - len(v))) * 256).astype(int) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
     want = {}
