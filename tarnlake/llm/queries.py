@@ -82,6 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tarnlake.llm import decontam, topk
+    from tarnlake.llm import decontam, sharding, topk
 
-    return {"op7_exact_top_k": topk.SQL, "op10_decontamination": decontam.SQL}
+    return {"op5_stratified_shards": sharding.SQL, "op7_exact_top_k": topk.SQL, "op10_decontamination": decontam.SQL}

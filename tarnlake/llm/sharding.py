@@ -39,3 +39,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), number.cast("int").alias("shard"),
         (F.col("position") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.when(~F.col("unnamed"), F.col("source")).alias("source"),
     )
+
+
+SQL = """
+WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS u, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mixed,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM documents, tbl),
+r AS (SELECT *, row_number() OVER (PARTITION BY s, u ORDER BY mixed, doc_id, text_crc32, size) - 1 AS k, count(*) OVER (PARTITION BY s, u) AS n FROM b),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * k + 1) / (2 * n), u, s, doc_id, text_crc32, size, k) - 1 AS pos, count(*) OVER () AS total FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(pos * 24 // total AS INTEGER) AS shard, CAST(pos - ((pos * 24 // total) * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p
+"""
