@@ -19,8 +19,8 @@ from tarnlake.llm.common import BROADCAST_ROWS, connected_components, discard, d
 class Plan:
     """width: words a shingle; similar: least Jaccard similarity in hundredths; bands of rows minima each.
 
-    At 40 bands of 6, a pair of similarity 0.85 shares no band with probability 6e-9 and a pair of 0.8 with 4e-6 (the
-    `sure` plan of 56 bands of 5: below 1e-9). margin: a pair is dropped on its signature only if it agrees in fewer
+    At 40 bands of 6, a pair of similarity 0.85 shares no band with probability 6e-9; at 48 bands of 5, a pair of 0.8 with
+    5e-9. margin: a pair is dropped on its signature only if it agrees in fewer
     minima than similarity less margin (over four and a half standard deviations).
     """
 
