@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import durable
+from tarnlake.llm.common import discard, durable
 
 #: The scorers are fitted on at most about so many documents (chosen by a hash of doc_id among all; texts are whole).
 TRAIN_DOCS = 6_000
@@ -140,14 +140,18 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("l")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("l"), "left").select("doc_id", "text", "toxic")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [bytes(votes(measures(text.as_py())[1], toxic.as_py())) for text, toxic in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(out, pa.binary())], ["doc_id", "toxic", "votes"])
-
-    voted = durable(rows.mapInArrow(vote, "doc_id long, toxic int, votes binary"), "votes")
+            out = [bytes(votes(measures(text.as_py())[1], None)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], ["doc_id", "votes"])
+
+    # texts are read where they lie; only ids and votes meet the labels
+    bare = durable(docs.select("doc_id", "text").mapInArrow(vote, "doc_id long, votes binary"), "votes")
+    marked_bad = F.concat(F.substring("votes", 1, len(LABELLERS) - 1), F.lit(bytes([BAD])))
+    voted = bare.join(known, F.col("doc_id") == F.col("l"), "left").withColumn("votes", F.when(F.col("toxic") > 0, marked_bad).otherwise(F.col("votes")))
+    voted = durable(voted.select("doc_id", "toxic", "votes"), "votes")
+    discard(bare)
     counted = sorted((bytes(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())
     patterns = np.array([list(p) for p, _ in counted], np.int64).reshape(len(counted), len(LABELLERS))
     model = expectation_maximisation(patterns, np.array([n for _, n in counted], float))
