@@ -17,6 +17,8 @@ from tarnlake.llm.common import discard, durable
 TRAIN_DOCS = 6_000
 #: Width of the hashed feature space, and passes over the sample.
 FEATURES, PASSES = 1 << 17, 6
+#: A labeller condemns at most this share of good texts: without the bound, EM calls a fault that only one labeller sees noise.
+FALSE_ALARM = 0.01
 #: Votes of a labeller.
 ABSTAIN, GOOD, BAD = 0, 1, 2
 LABELLERS = ("varied", "calm_case", "few_symbols", "no_runs", "fresh_lines", "word_shape", "length", "toxicity")
@@ -49,7 +51,7 @@ def votes(m: np.ndarray, toxic: int | None) -> list[int]:
         pick(upper < 0.15, upper > 0.4),
         pick(symbols < 0.15, symbols > 0.35),
         pick(run < 0.03, run > 0.2),
-        pick(lines == 0, lines > 0.3),
+        pick(lines == 0, lines > 0.7),
         pick(2.5 <= shape <= 10, shape > 25 or words > 0 and shape < 1.5),
         pick(words >= 15, words == 0),
         BAD if toxic else ABSTAIN,
@@ -90,7 +92,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
             for c, weight in enumerate((good, 1 - good)):
                 g = (counts * weight)[patterns[:, k] == GOOD].sum() + lean * (0.9 if c == 0 else 0.4)
                 b = (counts * weight)[patterns[:, k] == BAD].sum() + lean * (0.1 if c == 0 else 0.6)
-                model.table[k][c] = [1.0, g / (g + b), b / (g + b)]
+                wrong = min(b / (g + b), FALSE_ALARM) if c == 0 else b / (g + b)
+                model.table[k][c] = [1.0, 1 - wrong, wrong]
         model.prior = float(np.clip((counts * good).sum() / counts.sum(), 0.02, 0.98))
         good = model.posterior(patterns)
     return model
