@@ -39,9 +39,18 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/tarnlake/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives the loss of executors."""
+#: Rows of an intermediate's file at least, where their number is about known: small tables don't become many tiny files.
+FILE_ROWS = 10_000
+
+
+def durable(df: DataFrame, label: str, rows: int | None = None, **options: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and survives the loss of executors.
+
+    rows: about how many there are; tasks are merged down to FILE_ROWS rows each, never split.
+    """
     spark, path = df.sparkSession, workspace(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnlake_path = path
@@ -113,11 +122,11 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = durable(large, label)
+        large = durable(large, label, mark[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = durable(small, label)
+        after = durable(small, label, mark[0])
         discard(large)
         discard(current)
         before, mark, current = mark, _mark(after), after

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import BROADCAST_ROWS, connected_components, discard, durable, less
-
+from tarnlake.llm.common import connected_components, discard, durable, less, small_broadcast
 
 
 @dataclass(frozen=True)
@@ -30,7 +29,8 @@ class Plan:
     rows: int = 6
     margin: float = 0.105
     seed: int = 11
-    block: int = 1024
+    block: int = 512
+    block_bytes: int = 8 << 20
 
 
 CONTRACT = Plan()
@@ -112,6 +112,15 @@ def agreeing(frames: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.DataFram
         yield f[["u", "v"]]
 
 
+def alike(x: np.ndarray, y: np.ndarray, similar: int) -> bool:
+    """Whether two sorted sets overlap by at least `similar` hundredths of their union."""
+    if 100 * min(len(x), len(y)) < similar * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * common >= similar * (len(x) + len(y) - common)
+
+
 def confirmed(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v, su, sv) whose full sets overlap enough, by exact counts over the batch's own buffers."""
     for batch in batches:
@@ -124,30 +133,50 @@ def confirmed(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.Re
         for i in range(batch.num_rows):
             x = np.frombuffer(left_data, np.uint8, left[i + 1] - left[i], left[i]).view(np.uint64)
             y = np.frombuffer(right_data, np.uint8, right[i + 1] - right[i], right[i]).view(np.uint64)
-            if 100 * min(len(x), len(y)) < similar * max(len(x), len(y)):
-                ok.append(False)
-                continue
-            at = np.searchsorted(x, y)
-            common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            ok.append(100 * common >= similar * (len(x) + len(y) - common))
+            ok.append(alike(x, y, similar))
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
+def links_of(f: pd.DataFrame, plan: Plan) -> pd.DataFrame:
+    """A spanning forest of the links between members (of blocks i and j of one bucket) that differ in component."""
+    least = (plan.similar / 100 - plan.margin) * plan.bands * plan.rows
+    bucket, i, j = (int(f[x].iloc[0]) for x in ("bucket", "i", "j"))
+    node, c, mine = f["node"].to_numpy(), f["c"].to_numpy().copy(), f["mine"].to_numpy()
+    marks = np.frombuffer(b"".join(f["marks"]), np.uint8).reshape(len(f), -1)
+    bands = np.stack(f["bands"].to_numpy())
+    sets = [np.frombuffer(x, np.uint64) for x in f["shingles"]]
+    sizes, out = np.array([len(x) for x in sets]), []
+    for k in np.flatnonzero(mine == i):
+        at = np.flatnonzero(((mine == j) if i != j else (np.arange(len(f)) > k)) & (c != c[k]))
+        at = at[100 * np.minimum(sizes[at], sizes[k]) >= plan.similar * np.maximum(sizes[at], sizes[k])]
+        at = at[(marks[at] == marks[k]).sum(1) >= least]
+        at = at[bands[k][(bands[at] == bands[k]).argmax(1)] == bucket]
+        for x in at:
+            if c[x] != c[k] and alike(sets[k], sets[x], plan.similar):
+                out.append((node[k], node[x]))
+                c[c == c[x]] = c[k]
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
 class NearDuplicates:
-    """One run: sketches and band members are written once, then pairs are tried in rounds until no bucket holds two components."""
+    """One run: sketches and band members are written once, every member is tried against its bucket's least one, and
+    buckets that then still hold two components are compared in full."""
 
     def __init__(self, docs: DataFrame, plan: Plan):
         self.plan, self.docs = plan, docs.select("doc_id", "text")
         rows = self.docs.mapInArrow(lambda b: sketch_rows(b, plan), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, marks binary")
         self.sketches = durable(rows, "sketches")
+        self.n = self.sketches.count()
         # one representative of equal sets; minima combine before the shuffle, so a hot set is one row per task
+        first = F.min_by(F.struct("n_shingles", "bands", "marks"), "doc_id").alias("s")
         self.reps = durable(
-            self.sketches.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "marks"), "doc_id").alias("s")).select("k1", "k2", "node", "s.bands", "s.marks"),
+            self.sketches.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), first).select("k1", "k2", "node", "s.n_shingles", "s.bands", "s.marks"),
             "representatives",
+            self.n,
         )
-        members = self.reps.select("node", F.explode("bands").alias("bucket"))
-        shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
-        self.members = durable(members.join(shared, "bucket"), "members")
+        members = self.reps.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+        shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("n_shingles")).alias("size"), F.min("node").alias("pivot")).where("n > 1")
+        self.members = durable(members.drop("n_shingles").join(shared, "bucket"), "members", self.n)
 
     def similar_pairs(self, pairs: DataFrame) -> DataFrame:
         marks = self.reps.select("node", "marks")
@@ -155,65 +184,52 @@ class NearDuplicates:
         plan = self.plan
         return rows.mapInPandas(lambda f: agreeing(f, plan), "u long, v long")
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles): the full sets of just the documents in question, computed anew."""
+        nodes = nodes.distinct().toDF("doc_id")
+        wanted = self.docs.join(small_broadcast(nodes), "doc_id", "left_semi")
+        width = self.plan.width
+        return durable(wanted.mapInArrow(lambda b: set_rows(b, width), "node long, shingles binary").dropDuplicates(["node"]), "sets", self.n)
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Recompute the full sets of just the documents in question and compare them pair by pair."""
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        nodes = nodes.withColumnRenamed("node", "doc_id")
-        wanted = self.docs.join(F.broadcast(nodes) if nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else nodes, "doc_id", "left_semi")
-        width, similar = self.plan.width, self.plan.similar
-        sets = durable(wanted.mapInArrow(lambda b: set_rows(b, width), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+        """Compare the full sets of pairs."""
+        similar = self.plan.similar
+        sets = self.sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")))
         rows = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-        out = durable(rows.select("u", "v", "su", "sv").mapInArrow(lambda b: confirmed(b, similar), "u long, v long"), "links")
+        out = durable(rows.select("u", "v", "su", "sv").mapInArrow(lambda b: confirmed(b, similar), "u long, v long"), "links", self.n)
         discard(sets)
         return out
 
     def components(self) -> DataFrame:
         """(node, component) of representatives that are linked to another one."""
         star = self.members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-        tried = durable(self.similar_pairs(star), "pairs")
+        tried = durable(self.similar_pairs(star), "pairs", self.n)
         links = self.confirm(tried)
-        labels = durable(connected_components(links), "labels")
-        # all pairs of a bucket that are not yet in one component; most buckets have one component and end here
-        labelled = self.members.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        discard(tried)
+        labels = connected_components(links)
+        # buckets that are not yet one component; those of two members have been tried
+        labelled = self.members.where("n > 2").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         mixed = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
-        active = durable(labelled.join(mixed, "bucket").select("bucket", "node", "c", "n"), "active")
-        rest = self.across(active).join(tried, ["u", "v"], "left_anti")
-        rest = durable(rest, "pairs")
-        links = links.unionByName(self.confirm(rest))
-        return connected_components(links)
+        active = durable(labelled.join(mixed, "bucket").select("bucket", "node", "c", "n", "size"), "active", self.n)
+        return connected_components(links.unionByName(self.across(active)))
 
     def across(self, active: DataFrame) -> DataFrame:
-        """Signature-alike pairs of different components within a bucket, by blocks of members.
+        """Links between different components within a bucket, by blocks of members.
 
-        A large bucket is cut into blocks and each pair of blocks is a task of its own; only pairs that pass the
-        signature check leave a task.
+        A large bucket is cut into blocks of so many members and bytes, and each pair of blocks is a group of its own. A
+        group has signatures and full sets, so only links leave it, at most one fewer than its members; of the buckets
+        that a pair shares, only the first compares it.
         """
         plan = self.plan
-        size = plan.block
-        blocks = F.ceil(F.col("n") / F.lit(size)).cast("int")
+        blocks = F.greatest(F.ceil(F.col("n") / F.lit(plan.block)), F.ceil(F.col("size") / F.lit(plan.block_bytes))).cast("int")
         mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
         spread = active.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         spread = spread.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "c")
-        spread = spread.join(self.reps.select("node", "marks"), "node")
-        least = (plan.similar / 100 - plan.margin) * plan.bands * plan.rows
-
-        def pairs(f: pd.DataFrame) -> pd.DataFrame:
-            i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
-            f = f.sort_values("node")
-            node, c = f["node"].to_numpy(), f["c"].to_numpy()
-            marks = np.frombuffer(b"".join(f["marks"]), np.uint8).reshape(len(f), -1)
-            mine = f["mine"].to_numpy()
-            us, vs = [], []
-            for k in np.flatnonzero(mine == i):
-                at = np.flatnonzero(((mine == j) if i != j else (np.arange(len(f)) > k)) & (c != c[k]))
-                if len(at):
-                    at = at[(marks[at] == marks[k]).sum(1) >= least]
-                    us.append(np.maximum(node[at], node[k]))
-                    vs.append(np.minimum(node[at], node[k]))
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            return pd.DataFrame({"u": cat(us), "v": cat(vs)})
-
-        return spread.groupBy("bucket", "i", "j").applyInPandas(pairs, "u long, v long").distinct()
+        sets = self.sets(active.select("node"))
+        spread = spread.join(self.reps.select("node", "bands", "marks"), "node").join(sets, "node")
+        links = durable(spread.groupBy("bucket", "i", "j").applyInPandas(lambda f: links_of(f, plan), "u long, v long"), "links", 4 * self.n)
+        discard(sets)
+        return links
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
