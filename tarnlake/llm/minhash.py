@@ -226,8 +226,8 @@ class NearDuplicates:
         spread = active.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         spread = spread.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "c")
         sets = self.sets(active.select("node"))
-        spread = spread.join(self.reps.select("node", "bands", "marks"), "node").join(sets, "node")
-        links = durable(spread.groupBy("bucket", "i", "j").applyInPandas(lambda f: links_of(f, plan), "u long, v long"), "links", 4 * self.n)
+        facts = self.reps.select("node", "bands", "marks").join(sets, "node")
+        links = durable(spread.join(facts, "node").groupBy("bucket", "i", "j").applyInPandas(lambda f: links_of(f, plan), "u long, v long"), "links", 4 * self.n)
         discard(sets)
         return links
 
