@@ -56,7 +56,8 @@ def quote_page(pages: DataFrame, quotes: DataFrame) -> DataFrame:
 
     `pages`: doc, page, text. `quotes`: doc, quote_id, quote, claimed.
     """
-    hits = quotes.join(pages, "doc").where(squeezed(F.col("text")).contains(squeezed(F.col("quote"))))
+    tight = pages.select("doc", "page", squeezed(F.col("text")).alias("tight"))
+    hits = quotes.withColumn("wanted", squeezed(F.col("quote"))).join(tight, "doc").where(F.col("tight").contains(F.col("wanted")))
     found = hits.groupBy("doc", "quote_id").agg(F.min_by("page", F.struct((F.col("page") != F.col("claimed")).alias("other"), "page")).alias("found"))
     return quotes.join(found, ["doc", "quote_id"], "left").select("doc", "quote_id", F.col("found").alias("page"))
 

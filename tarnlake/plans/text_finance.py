@@ -34,7 +34,7 @@ h AS (SELECT q.doc, q.quote_id, arg_min(pg.page, (pg.page <> claimed, pg.page))
 SELECT q.doc, q.quote_id, CAST(h.page AS INTEGER) AS page FROM q LEFT JOIN h ON h.doc = q.doc AND h.quote_id = q.quote_id""")
 def quote_evidence(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    quotes = pages.where("page < 4 and length(text) >= 40").select("doc", F.col("page").alias("quote_id"), F.substring("text", 5, 30).alias("quote"), (F.col("page") + 1).alias("claimed"))
+    quotes = pages.where("length(text) >= 40").select("doc", F.col("page").alias("quote_id"), F.substring("text", 5, 30).alias("quote"), (F.col("page") + 1).alias("claimed"))
     return T.quote_page(pages, quotes)
 
 

@@ -38,3 +38,19 @@ def test_product_match_tries_every_part(spark, tmp_path):
     want = {k: best_name(name, parts, 0.1) for k, name in suppliers}
     assert got == {k: (v[0], round(v[1], 6)) for k, v in want.items() if v}
     assert got[1] == (301, 1.0) and got[2][0] == 20_000
+
+
+def test_quote_evidence_looks_up_every_long_line(spark, tmp_path):
+    line = lambda i: f"line {i:02d} of a document with forty characters and more"
+    lines = [line(i) for i in range(9)] + ["short", line(2), "x" * 40, "y" * 39]
+    folder = saved(spark, tmp_path, documents=([(1, "\n".join(lines)), (2, "short\n" * 6 + line(0)), (3, None)], "doc_id long, text string"))
+    got = {(r.doc, r.quote_id): r.page for r in run(spark, "quote_evidence", folder).collect()}
+    want = {}
+    for doc, pages in ((1, lines), (2, ["short"] * 6 + [line(0)])):
+        tight = ["".join(p.split()) for p in pages]
+        for k, p in enumerate(pages):
+            if len(p) >= 40:
+                hits = [j for j, t in enumerate(tight) if "".join(p[4:34].split()) in t]
+                want[doc, k] = k + 1 if k + 1 in hits else hits[0]
+    assert got == want
+    assert {k for d, k in got if d == 1} == {*range(9), 10, 11} and got[2, 6] == 6
