@@ -1,5 +1,7 @@
 """Registered queries on tables built so that a cut of rows would show, against brute force or SQL over whole tables."""
 
+import datetime
+
 from tarnlake import catalog
 
 
@@ -54,3 +56,13 @@ def test_quote_evidence_looks_up_every_long_line(spark, tmp_path):
                 want[doc, k] = k + 1 if k + 1 in hits else hits[0]
     assert got == want
     assert {k for d, k in got if d == 1} == {*range(9), 10, 11} and got[2, 6] == 6
+
+
+def test_effective_dates_covers_every_order(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(days=i * 5 % 23, hours=i % 24)) for i in range(1, 30)]
+    folder = saved(spark, tmp_path, orders=(rows, "o_orderkey long, o_orderdate timestamp"))
+    got = {r.o_orderkey: r.effective for r in run(spark, "effective_dates", folder).collect()}
+    sessions = sorted({d.date() for _, d in rows if d.weekday() < 5})
+    assert got == {k: next((s for s in sessions if s > d.date()), None) for k, d in rows}
+    assert len(got) == 29
