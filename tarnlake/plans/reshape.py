@@ -53,15 +53,15 @@ def recursive_tree(spark, sf_dir):
 _EDGES = "e AS (SELECT DISTINCT s_nationkey AS src, (s_nationkey * 7 + s_suppkey) % 25 AS dst FROM supplier WHERE s_suppkey % 4 = 0)"
 
 
-def _edges(spark, sf_dir):
-    return read(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").cast("long").alias("src"), ((F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 25).cast("long").alias("dst")).distinct()
+def supplier_edges(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("src"), ((F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 25).cast("long").alias("dst")).distinct()
 
 
 @register("reachability", f"""
 WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT r.src, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.dst WHERE r.hops < 3)
 SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, min(hops) AS hops FROM r WHERE src <> dst GROUP BY 1, 2""")
 def reachability(spark, sf_dir):
-    return G.reachable(_edges(spark, sf_dir), 3)
+    return G.reachable(supplier_edges(spark, sf_dir), 3)
 
 
 @register("signed_walk", f"""
@@ -69,7 +69,7 @@ WITH RECURSIVE {_EDGES}, d AS (SELECT src AS a, dst AS b FROM e QUALIFY row_numb
 x AS (SELECT 3 AS node, 0 AS k UNION SELECT d.b, k + 1 FROM x JOIN d ON d.a = x.node WHERE k < 3), y AS (SELECT 3 AS node, 0 AS k UNION SELECT u.b, k - 1 FROM y JOIN u ON u.a = y.node WHERE k > -3)
 SELECT CAST(node AS BIGINT) AS node, arg_min(k, (abs(k), -k)) AS distance FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY node""")
 def signed_walk(spark, sf_dir):
-    return G.walk(_edges(spark, sf_dir), spark.createDataFrame([(3,)], "node long"), 3, 2)
+    return G.walk(supplier_edges(spark, sf_dir), spark.createDataFrame([(3,)], "node long"), 3, 2)
 
 
 @register("peer_similarity", """

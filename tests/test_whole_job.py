@@ -66,3 +66,35 @@ def test_effective_dates_covers_every_order(spark, tmp_path):
     sessions = sorted({d.date() for _, d in rows if d.weekday() < 5})
     assert got == {k: next((s for s in sessions if s > d.date()), None) for k, d in rows}
     assert len(got) == 29
+
+
+def supplier_links(rows):
+    return sorted({(nation, (nation * 7 + key) % 25) for key, nation, *_ in rows})
+
+
+def hops(edges, most):
+    """{(src, dst): least steps} by breadth-first search."""
+    out = {}
+    for start in {a for a, _ in edges}:
+        seen, front = {start}, {start}
+        for k in range(1, most + 1):
+            front = {b for a, b in edges if a in front} - seen
+            seen |= front
+            out |= {(start, b): k for b in front}
+    return out
+
+
+def test_reachability_and_walk_use_every_supplier(spark, tmp_path):
+    rows = [(key, key * 11 % 25) for key in range(1, 26)]
+    folder = saved(spark, tmp_path, supplier=(rows, "s_suppkey long, s_nationkey int"))
+    edges = supplier_links(rows)
+    assert {(r.src, r.dst): r.hops for r in run(spark, "reachability", folder).collect()} == hops(edges, 3)
+    want = {3: 0}
+    for sign, links in ((1, edges), (-1, sorted((b, a) for a, b in edges))):
+        front = {3}
+        for k in range(1, 4):
+            front = {b for x in front for b in [b for a, b in links if a == x][:2]}
+            for b in front:
+                if b not in want or (k, -sign) < (abs(want[b]), -want[b]):
+                    want[b] = sign * k
+    assert {r.node: r.distance for r in run(spark, "signed_walk", folder).collect()} == want
