@@ -170,10 +170,19 @@ def alias_detection(spark, sf_dir):
 SELECT a.s_suppkey AS seller, b.s_suppkey AS buyer FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey AND a.s_nationkey = b.s_nationkey AND abs(a.s_acctbal - b.s_acctbal) <= 0.005 * abs(a.s_acctbal)
 QUALIFY count(*) OVER (PARTITION BY a.s_suppkey) = 1 AND count(*) OVER (PARTITION BY b.s_suppkey) = 1""")
 def theta_reachability_match(spark, sf_dir):
-    """Counterparties inferred from amounts within half a percent, unique on both sides."""
-    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    b = s.select(F.col("s_suppkey").alias("buyer"), F.col("s_nationkey"), F.col("s_acctbal").alias("bal"))
-    pairs = s.withColumnRenamed("s_suppkey", "seller").join(b, "s_nationkey").where("seller <> buyer and abs(s_acctbal - bal) <= 0.005 * abs(s_acctbal)")
+    """Counterparties inferred from amounts within half a percent and flows of at most three hops, unique on both sides.
+
+    Buckets of the logarithm are wider than half a percent, so that the two of a pair lie in one or in neighbours.
+    """
+    from tarnlake.operators.graph import reachable
+    from tarnlake.plans.reshape import supplier_edges
+
+    step = F.coalesce(F.floor(F.ln(F.abs("s_acctbal")) / 0.0051), F.lit(0))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("nation"), F.col("s_acctbal").alias("bal"), F.signum("s_acctbal").alias("sign"), step.alias("step"))
+    a = s.select(F.col("s_suppkey").alias("seller"), F.col("nation").alias("src"), F.col("bal").alias("due"), "sign", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"))
+    b = s.select(F.col("s_suppkey").alias("buyer"), F.col("nation").alias("dst"), "bal", "sign", "step")
+    pairs = a.join(b, ["sign", "step"]).where("seller <> buyer and abs(due - bal) <= 0.005 * abs(due)")
+    pairs = pairs.join(reachable(supplier_edges(spark, sf_dir), 3), ["src", "dst"], "left_semi")
     pairs = pairs.withColumn("x", F.count("*").over(Window.partitionBy("seller"))).withColumn("y", F.count("*").over(Window.partitionBy("buyer")))
     return pairs.where("x = 1 and y = 1").select("seller", "buyer")
 

@@ -1,6 +1,7 @@
 """Registered queries on tables built so that a cut of rows would show, against brute force or SQL over whole tables."""
 
 import datetime
+import random
 
 from tarnlake import catalog
 
@@ -98,3 +99,17 @@ def test_reachability_and_walk_use_every_supplier(spark, tmp_path):
                 if b not in want or (k, -sign) < (abs(want[b]), -want[b]):
                     want[b] = sign * k
     assert {r.node: r.distance for r in run(spark, "signed_walk", folder).collect()} == want
+
+
+def test_theta_match_follows_flows(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(key, rng.randrange(25), rng.choice([-1, 1]) * round(100 * 1.003 ** rng.randrange(90), 2)) for key in range(1, 31)]
+    rows += [(31, 3, 9000.0), (32, 3, 9001.0), (33, 5, 0.0), (34, 6, 0.0), (35, 7, None)]
+    folder = saved(spark, tmp_path, supplier=(rows, "s_suppkey long, s_nationkey int, s_acctbal double"))
+    reach = hops(supplier_links(rows), 3)
+    some = [r for r in rows if r[2] is not None]
+    pairs = [(a[0], b[0]) for a in some for b in some if a[0] != b[0] and abs(a[2] - b[2]) <= 0.005 * abs(a[2]) and (a[1], b[1]) in reach]
+    want = {(s, b) for s, b in pairs if sum(x == s for x, _ in pairs) == 1 and sum(y == b for _, y in pairs) == 1}
+    assert {(r.seller, r.buyer) for r in run(spark, "theta_reachability_match", folder).collect()} == want
+    nation = {r[0]: r[1] for r in rows}
+    assert {reach[nation[s], nation[b]] for s, b in want} & {2, 3} and (31, 32) not in want
