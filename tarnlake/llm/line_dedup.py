@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.common import BROADCAST_ROWS, connected_components, discard, durable, fresh
 
-#: Edits between two lines of a class link; lines below LEAST characters are never touched.
+#: Edits between two lines of a class link. Links need LEAST characters; equal lines are a class at any length, unless blank.
 EDITS, LEAST = 2, 40
 #: A run of lines under one key is compared at once up to this length; a longer one is cut into blocks of this size.
 RUN = 512
@@ -130,14 +130,14 @@ def far_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def line_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, line, node, check: two hashes of every line of at least `least` characters."""
+    """doc_id, text -> doc_id, line, node, check: two hashes of every line, less the blank ones below `least` characters."""
     import xxhash
 
     for batch in batches:
         docs, numbers, nodes, checks = [], [], [], []
         for doc, text in zip(batch.column(0), batch.column(1), strict=True):
             for k, line in enumerate((text.as_py() or "").split("\n")):
-                if len(line) >= least:
+                if len(line) >= least or line and not line.isspace():
                     digest = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
                     docs.append(doc.as_py())
                     numbers.append(k)
@@ -315,7 +315,8 @@ def links(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, line, class_id): every line but the first of its class, lines in order of doc_id and number.
 
-    A class holds equal lines and all that links of at most `edits` edits reach; class_id is its smallest node.
+    A class holds equal lines, however short, and all that links of at most `edits` edits reach, which join lines of
+    `least` characters or more; class_id is its smallest node.
     """
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     found = durable(texts.mapInArrow(lambda b: line_rows(b, least), "doc_id long, line int, node long, check long"), "occurrences")
@@ -330,8 +331,8 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
 def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (line numbers from 0), class_ids of those, for every row.
 
-    Null texts have no lines, empty ones a line of no characters; lines below `least` characters always stay. Rows that
-    repeat a doc_id are one document. Rows without doc_id keep all lines.
+    Null texts have no lines, empty ones a line of no characters; blank lines below `least` characters always stay. Rows
+    that repeat a doc_id are one document. Rows without doc_id keep all lines.
     """
     gone = dropped_lines(docs, edits, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line", "class_id"))).alias("gone"))
     rows = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines"))

@@ -107,6 +107,15 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0 and line_dedup.drop_lines(empty).count() == 0
 
 
+def test_equal_short_lines_are_a_class(spark):
+    short = "All rights reserved."
+    rows = [(1, f"{short}\n\n \nx"), (2, f"one\n{short}\n\n \nx"), (3, f"{short}\n{short}"), (4, "All rights reserved!"), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.dropped, len(set(r.class_ids))) for r in line_dedup.line_dedup(frame).collect()}
+    assert got == {1: ([], 0), 2: ([1, 4], 2), 3: ([0, 1], 1), 4: ([], 0), 5: ([], 0)}
+    assert {r.doc_id: r.text for r in line_dedup.drop_lines(frame).collect()} == {1: rows[0][1], 2: "one\n\n ", 4: rows[3][1], 5: None}
+
+
 def test_line_runs_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "RUN", 8)
     rng = random.Random(9)
