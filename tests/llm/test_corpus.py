@@ -1,6 +1,7 @@
 """Corpus operators against plain versions, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -149,6 +150,13 @@ def test_minhash(docs, empty, plan):
     assert minhash.near_duplicates(empty, plan).count() == 0
 
 
+@pytest.mark.parametrize("plan", [minhash.CONTRACT, minhash.STAGE])
+def test_minhash_misses_few_links(plan):
+    n, p = plan.bands * plan.rows, plan.similar / 100
+    dropped = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.ceil((p - plan.margin) * n)))
+    assert (1 - p**plan.rows) ** plan.bands + dropped < 1e-8
+
+
 def test_minhash_stage(docs):
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
