@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most training characters per language (a documented bound; rows are chosen by a hash of doc_id, texts are whole).
+#: Training characters per language (a documented bound; rows are taken by a hash of doc_id until it is met, one at least).
 TRAIN_CHARS = 400_000
 #: Bytes of context at most.
 ORDER = 3
@@ -116,22 +116,33 @@ def fit(samples: list[tuple[str, list[bytes]]], order: int = ORDER) -> Trees:
 
 
 def learn(docs: DataFrame, train_chars: int = TRAIN_CHARS, order: int = ORDER, keep_out: bool = True) -> Trees:
-    """Fit on whole texts with a known language, at most about `train_chars` characters each.
+    """Fit on texts with a known language, about `train_chars` characters each: less than twice that, and one text at least.
 
-    Rows whose crc32(doc_id) mod 4 is 2 are kept out. Totals per language are summed over all documents first, then rows
-    are admitted by a hash of doc_id in the share that the bound allows, so the driver receives a bounded sample.
+    Rows whose crc32(doc_id) mod 4 is 2 are kept out. The rows of a language are admitted by a hash of doc_id until the
+    bound is met; a longer text is cut to it. Characters are first summed by language and by steps of the hash, each a
+    quarter more than the last, so that the driver receives little beyond what it admits.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and length(text) > 0")
     if keep_out:
         rows = rows.where(~held_out(F.col("doc_id")))
-    totals = {r["lang"]: r["chars"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
-    spark = docs.sparkSession
-    shares = spark.createDataFrame([(k, min(1.0, train_chars / v)) for k, v in totals.items()] or [("", 0.0)], "l string, share double")
-    point = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.join(F.broadcast(shares), F.col("lang") == F.col("l")).where(point < F.col("share")).select("doc_id", "lang", "text")
+    point = F.pmod(F.xxhash64("doc_id", F.lit(7), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 30))
+    rows = rows.withColumn("text", F.substring("text", 1, train_chars)).withColumn("point", point)
+    rows = rows.withColumn("step", F.floor(F.log2(F.col("point") + 1) * 3).cast("int"))
+    sums = rows.groupBy("lang", "step").agg(F.sum(F.length("text")).alias("chars")).collect()  # at most 91 steps a language
+    last: dict[str, int] = {}
+    total: dict[str, int] = {}
+    for r in sorted(sums, key=lambda r: (r["lang"], r["step"])):
+        if total.get(r["lang"], 0) < train_chars:
+            last[r["lang"]] = r["step"]
+            total[r["lang"]] = total.get(r["lang"], 0) + r["chars"]
+    steps = docs.sparkSession.createDataFrame(list(last.items()) or [("", -1)], "l string, last int")
+    chosen = rows.join(F.broadcast(steps), (F.col("lang") == F.col("l")) & (F.col("step") <= F.col("last")))
     by: dict[str, list[tuple]] = {}
-    for r in chosen.toLocalIterator():
-        by.setdefault(r["lang"], []).append((r["doc_id"] is None, r["doc_id"] or 0, r["text"].encode("utf-8", "surrogatepass")))
+    taken: dict[str, int] = {}
+    for r in chosen.select("doc_id", "lang", "text", "point").orderBy("lang", "point", "doc_id", "text").toLocalIterator():
+        if taken.get(r["lang"], 0) < train_chars:
+            taken[r["lang"]] = taken.get(r["lang"], 0) + len(r["text"])
+            by.setdefault(r["lang"], []).append((r["doc_id"] is None, r["doc_id"] or 0, r["text"].encode("utf-8", "surrogatepass")))
     return fit([(lang, [t for *_, t in sorted(texts)]) for lang, texts in by.items()], order)
 
 

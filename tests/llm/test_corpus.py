@@ -172,6 +172,15 @@ def test_language(docs, empty):
     assert language.keep_languages(docs).columns == docs.columns
 
 
+def test_every_language_is_learned_within_the_bound(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "fit", lambda samples, order: seen.update(samples))
+    rows = [(i, "ab " * 2000, "long") for i in range(5)] + [(100 + i, "word " * 6, "many") for i in range(300)] + [(500 + i, "x y", "few") for i in range(9)]
+    language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), train_chars=60, keep_out=False)
+    assert set(seen) == {"long", "many", "few"} and len(seen["few"]) == 9
+    assert seen["long"] == [b"ab " * 20] and len(seen["many"]) == 2
+
+
 def test_language_held_out_accuracy(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.language_id(rows).join(rows.select("doc_id", "lang"), "doc_id").where("held_out").collect()
