@@ -46,16 +46,16 @@ def cut_lengths(n: int, capacity: int, cuts: int = CUTS, least: int = 64) -> lis
 
 
 def piece_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    from tarnlake.llm.tokens import encoder
+    from tarnlake.llm.tokens import encoder, groups
 
-    encode, counts = encoder(path).encode, class_counts(capacity)
+    encode, counts = encoder(path).encode_many, class_counts(capacity)
     end = np.array([end_id], "<u4").tobytes()
     kind = [0, *[class_of(n, counts, capacity) for n in range(1, capacity + 1)]]
-    for batch in batches:
+    for docs, texts in groups(batches):
         rows: list[tuple] = []
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids = memoryview(encode(text.as_py()) + end)
-            n, at, doc = len(ids) // 4, 0, doc.as_py()
+        for doc, ids in zip(docs, encode(texts), strict=True):
+            ids = memoryview(bytes(ids) + end)
+            n, at = len(ids) // 4, 0
             for length in cut_lengths(n, capacity):
                 rows.append((doc, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, kind[length]))
                 at += length

@@ -14,19 +14,18 @@ from pyspark.sql.window import Window
 from tarnlake.llm.common import small_broadcast, workspace
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
-#: Texts of so many characters are encoded before a batch of rows is handed on.
-BATCH_CHARS = 2_000_000
 
 
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    from tarnlake.llm.tokens import encoder
+    from tarnlake.llm.tokens import encoder, groups
 
-    encode, part, at = encoder(path).encode, TaskContext.get().partitionId(), 0
+    encode, part, at = encoder(path).encode_many, TaskContext.get().partitionId(), 0
     end = np.array([end_id], "<u4").tobytes()
 
-    def flush() -> pa.RecordBatch:
+    def flush(docs: list, texts: list) -> pa.RecordBatch:
+        ids = [bytes(x) + end for x in encode(texts)]
         lengths = np.array([len(x) // 4 for x in ids], np.int64)
         values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -37,20 +36,10 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> It
             ["doc_id", "part", "part_start", "n_tokens", "ids"],
         )
 
-    docs, ids, chars = [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            text = text.as_py()
-            docs.append(doc.as_py())
-            ids.append(encode(text) + end)
-            chars += len(text or "")
-            if chars > BATCH_CHARS:
-                out = flush()
-                at += sum(len(x) // 4 for x in ids)
-                docs, ids, chars = [], [], 0
-                yield out
-    if docs:
-        yield flush()
+    for docs, texts in groups(batches):
+        out = flush(docs, texts)
+        at += len(out.column(4).values)
+        yield out
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, row_group_bytes: int = 16 << 20, page_rows: int = 2_000) -> None:
