@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def valid_day(text: Column) -> Column:
@@ -39,7 +40,7 @@ def canonical_code(code: Column) -> Column:
     market = F.regexp_extract(c, r"(SH|SZ|BJ)", 1)
     guess = F.when(number.rlike("^[69]"), "SH").when(number.rlike("^[023]"), "SZ").when(number.rlike("^[48]"), "BJ")
     shaped = c.rlike(r"^\d{6}(\.(SH|SZ|BJ))?$|^(SH|SZ|BJ)\.?\d{6}$")
-    return F.when(shaped, F.concat_ws(".", number, F.coalesce(F.nullif(market, F.lit("")), guess)))
+    return F.when(shaped, F.concat(number, F.lit("."), F.coalesce(F.nullif(market, F.lit("")), guess)))
 
 
 def known_day(known_on: Column, rule: str, lag_days: int = 0) -> Column:
@@ -52,13 +53,32 @@ def known_day(known_on: Column, rule: str, lag_days: int = 0) -> Column:
 
 
 def effective_sessions(facts: DataFrame, known: str, sessions: DataFrame, session: str, rule: str, lag_sessions: int = 1, lag_days: int = 0) -> DataFrame:
-    """Adds `effective`: on or after the known day, or with next_session the n-th session strictly after it.
+    """Adds `effective`: on or after the known day, or with next_session the n-th session strictly after it; NULL stays NULL.
 
-    Only distinct known values are resolved, against an array of sessions (a row a day: about 250 a year).
+    Only distinct known values are resolved, by one sorted pass over them and the sessions, which carry the one n - 1
+    sessions on. Both are a row a day.
     """
-    calendar = sessions.agg(F.sort_array(F.collect_set(session)).alias("__all"))
-    values = facts.select(F.col(known).alias("__k")).distinct().withColumn("__d", known_day(F.col("__k"), rule, lag_days))
-    one = values.withColumn("__j", F.lit(1)).join(F.broadcast(calendar.withColumn("__j", F.lit(1))), "__j")
-    after = F.filter("__all", lambda s: s > F.col("__d") if rule == "next_session" else s >= F.col("__d"))
-    resolved = one.select("__k", F.get(after, F.lit(lag_sessions - 1 if rule == "next_session" else 0)).alias("effective"))
+    from tarnlake.operators.asof import asof_join
+
+    ahead = (lag_sessions if rule == "next_session" else 1) - 1
+    calendar = sessions.select(F.col(session).alias("__s")).where("__s is not null").distinct()
+    calendar = calendar.select(F.lit(0).alias("__j"), "__s", F.lead("__s", ahead).over(Window.orderBy("__s")).alias("effective"))
+    values = facts.select(F.col(known).alias("__k")).distinct().select("__k", F.lit(0).alias("__j"), known_day(F.col("__k"), rule, lag_days).alias("__d"))
+    resolved = asof_join(values, calendar, ["__j"], "__d", "__s", ["effective"], forward=True, strict=rule == "next_session").select("__k", "effective")
     return facts.join(resolved, facts[known].eqNullSafe(resolved["__k"]), "left").drop("__k")
+
+
+def calendar(days: DataFrame, day: str, sessions: DataFrame, session: str, span: int) -> DataFrame:
+    """Adds is_open, previous and next session (strictly), number of the last session by then, and in_<span>_days: sessions
+    from the day to `span` days later, by the difference of two numbers."""
+    from tarnlake.operators.asof import asof_join
+
+    s = sessions.select(F.col(session).alias("__s")).distinct()
+    s = s.withColumn("__n", F.row_number().over(Window.orderBy("__s"))).withColumn("__j", F.lit(0))  # a row a session
+    out = days.withColumn("__j", F.lit(0)).withColumn("__end", F.date_add(day, span))
+    at = lambda frame, on, name, c, **how: asof_join(frame, s.withColumn(name, F.col(c)), ["__j"], on, "__s", [name], **how)
+    out = at(at(out, day, "previous", "__s", strict=True), day, "next", "__s", forward=True, strict=True)
+    out = at(at(at(out, day, "number", "__n"), day, "__last", "__s"), "__end", "__to", "__n")
+    out = out.withColumn("is_open", F.coalesce(F.col("__last") == F.col(day), F.lit(False)))
+    inside = F.coalesce("__to", F.lit(0)) - F.coalesce("number", F.lit(0)) + F.col("is_open").cast("int")
+    return out.withColumn(f"in_{span}_days", inside.cast("long")).drop("__j", "__end", "__last", "__to")

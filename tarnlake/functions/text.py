@@ -28,27 +28,82 @@ def dice(a: Column, b: Column) -> Column:
     return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
 
 
-def match_score(wanted: Column, name: Column, overlap: Column) -> Column:
-    """1 for equal names, 0.6 + 0.3 r if the name holds the wanted text, 0.55 + 0.3 r if it lies in it (r: shorter over longer), else 0.6 Dice."""
+#: A wanted text within a name counts from so many characters and so large a share of the name on; overlap from so large a
+#: Dice coefficient on; matches from this score on.
+LEAST_INSIDE, LEAST_SHARE, LEAST_DICE, LEAST_SCORE = 3, 0.5, 0.5, 0.45
+
+
+def match_score(wanted: Column, name: Column, overlap: Column, broad: Column | None = None, near: Column | None = None) -> Column:
+    """1 for equal texts; 0.6 + 0.3 r if the wanted text holds the name; 0.55 + 0.3 r if it lies in the name, is no broad word
+    and is long enough (r: shorter over longer); 0.6 times a large enough Dice overlap where the name is `near`; else 0."""
     r = F.least(F.length(wanted), F.length(name)) / F.greatest(F.length(wanted), F.length(name))
-    return F.when(wanted == name, 1.0).when(name.contains(wanted), 0.6 + 0.3 * r).when(wanted.contains(name), 0.55 + 0.3 * r).otherwise(0.6 * overlap)
+    long_enough = (F.length(wanted) >= LEAST_INSIDE) & (r >= LEAST_SHARE) & ~(F.lit(False) if broad is None else broad)
+    close = (overlap >= LEAST_DICE) & (F.lit(True) if near is None else near)
+    inside = F.when(long_enough, 0.55 + 0.3 * r).otherwise(0.0)
+    return F.when(wanted == name, 1.0).when(wanted.contains(name), 0.6 + 0.3 * r).when(name.contains(wanted), inside).when(close, 0.6 * overlap).otherwise(0.0)
 
 
-def match_names(wanted: DataFrame, names: DataFrame, least: float = 0.45) -> DataFrame:
+def match_names(wanted: DataFrame, names: DataFrame, least: float = LEAST_SCORE, broad: tuple[str, ...] = ()) -> DataFrame:
     """(wanted_id, name_id, score): the best-scoring name of each wanted text (ties: the smaller id).
 
-    `wanted` has wanted_id, text; `names` has name_id, text. Candidates share a bigram; both sides carry their own text, so
-    one shuffle on bigrams finds them.
+    `wanted` has wanted_id, text; `names` has name_id, text. Texts are compared lower-cased and without blanks. Pairs of
+    characters are ordered by how many names hold them, the rarest first, and three equi-joins on pairs find all that can
+    score: a name that lies in a wanted text has its rarest pair there; a wanted text that lies in a name likewise; texts
+    with a sufficient overlap share one of the rarest pairs of both, all but so many that the rest could not make it up.
     """
     a = wanted.select("wanted_id", F.lower(squeezed(F.col("text"))).alias("a")).withColumn("ga", bigrams(F.col("a")))
     b = names.select("name_id", F.lower(squeezed(F.col("text"))).alias("b")).withColumn("gb", bigrams(F.col("b")))
-    left = a.select("wanted_id", F.explode("ga").alias("g"))
-    right = b.select("name_id", F.explode("gb").alias("g"))
-    pairs = left.join(right, "g").groupBy("wanted_id", "name_id").agg(F.count("*").alias("common"))
-    pairs = pairs.join(a.select("wanted_id", "a", F.size("ga").alias("na")), "wanted_id").join(b.select("name_id", "b", F.size("gb").alias("nb")), "name_id")
-    pairs = pairs.withColumn("score", match_score(F.col("a"), F.col("b"), 2.0 * F.col("common") / (F.col("na") + F.col("nb")))).where(F.col("score") >= least)
-    best = Window.partitionBy("wanted_id").orderBy(F.desc("score"), F.asc("name_id"))
-    return pairs.withColumn("n", F.row_number().over(best)).where("n = 1").select("wanted_id", "name_id", "score")
+    counts = b.select(F.explode("gb").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    left, right = _ranked(a, "wanted_id", "ga", counts), _ranked(b, "name_id", "gb", counts)
+    met = [
+        left.join(right.where("n = 1").select("name_id", "g"), "g"),
+        left.where("n = 1").join(right.select("name_id", "g"), "g"),
+        left.where("n <= take").join(right.where("n <= take").select("name_id", "g"), "g"),
+    ]
+    pairs = None
+    for part in met:
+        part = part.select("wanted_id", "name_id")
+        pairs = part if pairs is None else pairs.unionByName(part)
+    pairs = pairs.distinct().join(a, "wanted_id").join(b, "name_id")
+    common = F.size(F.array_intersect("ga", "gb"))
+    score = match_score(F.col("a"), F.col("b"), 2.0 * common / (F.size("ga") + F.size("gb")), F.col("a").isin(*broad) if broad else None)
+    pairs = pairs.withColumn("score", score).where((F.col("score") >= least) & (F.col("score") > 0))
+    best = pairs.groupBy("wanted_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "name_id")).alias("x"))
+    return best.select("wanted_id", "x.name_id", (-F.col("x.s")).alias("score"))
+
+
+def _ranked(texts: DataFrame, key: str, grams: str, counts: DataFrame) -> DataFrame:
+    """(key, g, n, take): the pairs of each text from the rarest on, and how many of them an overlap must reach into.
+
+    With |x| pairs, an overlap of LEAST_DICE with any text takes at least ceil(LEAST_DICE |x| / (2 - LEAST_DICE)) shared
+    ones, so the first of them in this order is among the |x| less that, plus one, rarest.
+    """
+    need = F.ceil(F.lit(LEAST_DICE / (2 - LEAST_DICE)) * F.size(grams) - 1e-9)
+    each = texts.select(key, (F.size(grams) - need + 1).alias("take"), F.explode(grams).alias("g")).join(counts, "g", "left")
+    order = Window.partitionBy(key).orderBy(F.coalesce("c", F.lit(0)), "g")
+    return each.select(key, "g", "take", F.row_number().over(order).alias("n"))
+
+
+#: Endings that name a form of company rather than the company.
+COMPANY_SUFFIXES = r"(?i)(\s+(Holdings|Group|Co\.|Ltd\.|Inc\.))+$"
+
+
+def resolve_names(rows: DataFrame, key: str, name: str, known: DataFrame, known_name: str, suffixes: str = COMPANY_SUFFIXES) -> DataFrame:
+    """(key, matched, rank): rank 1 for equal names (letter case aside), 2 for names equal less their suffixes, 3 for the
+    longest known name that the name starts with; rows without a match are left out.
+
+    Every prefix of a name is a row, so the longest known one is found by an equi-join.
+    """
+    upper = F.upper(F.col(name))
+    known = known.select(F.col(known_name).alias("matched"), F.upper(F.col(known_name)).alias("__u")).distinct()
+    lengths = known.agg(F.max(F.length("__u"))).first()[0] or 0
+    full = rows.select(key, upper.alias("__u"), F.lit(1).alias("rank"))
+    bare = rows.select(key, F.upper(F.regexp_replace(name, suffixes, "")).alias("__u"), F.lit(2).alias("rank"))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.length(upper), F.lit(lengths))), lambda n: F.substring(upper, 1, n))
+    prefix = rows.where(F.length(name) > 0).select(key, F.explode(starts).alias("__u"), F.lit(3).alias("rank"))
+    hits = full.unionByName(bare).unionByName(prefix).join(known, "__u")
+    best = hits.groupBy(key).agg(F.min(F.struct("rank", (-F.length("__u")).alias("l"), "matched")).alias("x"))
+    return best.select(key, "x.matched", "x.rank")
 
 
 def quote_page(pages: DataFrame, quotes: DataFrame) -> DataFrame:

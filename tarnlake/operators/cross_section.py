@@ -68,11 +68,11 @@ def information_coefficient(df: DataFrame, factor: str, forward: str, by: list[s
 
 
 def quantile_ladder(df: DataFrame, factor: str, forward: str, by: list[str], n: int) -> DataFrame:
-    """by..., quantile, mean_return, count; quantile 0 is top less bottom (NULL if either is missing)."""
+    """by..., quantile, mean_return, count; quantile 0 is top less bottom (NULL if either is missing), its count that of both."""
     pairs = df.where(F.col(factor).isNotNull() & F.col(forward).isNotNull())
     q = F.greatest(F.lit(1), F.least(F.lit(n), F.ceil(percent_rank(factor, by) * n))).cast("int")
     ladder = pairs.withColumn("quantile", q).groupBy(*by, "quantile").agg(F.avg(forward).alias("mean_return"), F.count(F.lit(1)).alias("count"))
-    spread = ladder.groupBy(*by).agg((F.max(F.when(F.col("quantile") == n, F.col("mean_return"))) - F.max(F.when(F.col("quantile") == 1, F.col("mean_return")))).alias("mean_return"), F.sum("count").alias("count"))
+    spread = ladder.groupBy(*by).agg((F.max(F.when(F.col("quantile") == n, F.col("mean_return"))) - F.max(F.when(F.col("quantile") == 1, F.col("mean_return")))).alias("mean_return"), F.sum(F.when(F.col("quantile").isin(1, n), F.col("count"))).alias("count"))
     return ladder.unionByName(spread.withColumn("quantile", F.lit(0)).select(*by, "quantile", "mean_return", "count"))
 
 

@@ -74,6 +74,15 @@ def content_digest(spark, sf_dir):
     return exact_digest(read(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
 
+@register("scalable_digest", """
+SELECT count(*) AS n, bit_xor(h) AS xor, CAST(sum(h) AS VARCHAR) AS total FROM (SELECT CAST('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), l_returnflag)), 1, 15) AS BIGINT) AS h FROM lineitem)""")
+def scalable_digest(spark, sf_dir):
+    """Digest of a large table's contents whatever their order, by partial aggregates."""
+    from tarnlake.operators.digest import scalable_digest as digest
+
+    return digest(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
+
+
 @register("running_state", """
 WITH v AS (SELECT o_custkey, o_orderkey, o_orderdate AS known_on, year(o_orderdate) * 100 + (o_orderkey * 7) % 12 + 1 AS period, o_totalprice AS value FROM orders)
 SELECT o_orderkey, round(arg_max(value, (period, known_on, o_orderkey)) OVER (PARTITION BY o_custkey ORDER BY known_on, period, o_orderkey ROWS UNBOUNDED PRECEDING), 4) AS state,
@@ -121,16 +130,16 @@ def single_quarters(spark, sf_dir):
 
 @register("universe_rules", """
 WITH s AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1)
-SELECT c_custkey, nullif(concat_ws(',', CASE WHEN c_mktsegment = 'MACHINERY' THEN 'exchange' END, CASE WHEN c_acctbal < 0 THEN 'st' END, CASE WHEN coalesce(n, 0) < 8 THEN 'new' END,
-CASE WHEN last < TIMESTAMP '2001-01-01' THEN 'suspended' END, CASE WHEN p > 2 THEN 'delisting' END), '') AS reason,
+SELECT c_custkey, concat_ws(',', CASE WHEN c_mktsegment = 'MACHINERY' THEN 'exchange' END, CASE WHEN c_acctbal < 0 THEN 'st' END, CASE WHEN coalesce(n, 0) < 8 THEN 'new' END,
+CASE WHEN last < TIMESTAMP '2001-01-01' THEN 'suspended' END, CASE WHEN p > 2 THEN 'delisting' END) AS reason,
 CASE WHEN c_mktsegment = 'MACHINERY' OR c_acctbal < 0 OR coalesce(n, 0) < 8 OR last < TIMESTAMP '2001-01-01' OR p > 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS in_universe FROM customer LEFT JOIN s ON o_custkey = c_custkey""")
 def universe_rules(spark, sf_dir):
-    """Which rules keep a name out of the universe, comma-joined; and whether it is in."""
+    """Which rules keep a name out of the universe, comma-joined ('' for members); and whether it is in."""
     s = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"), F.count_if(F.col("o_orderstatus") == "P").alias("p"))
     rows = read(spark, sf_dir, "customer").join(s, F.col("c_custkey") == F.col("o_custkey"), "left")
     rules = (("exchange", "c_mktsegment = 'MACHINERY'"), ("st", "c_acctbal < 0"), ("new", "coalesce(n, 0) < 8"), ("suspended", "last < timestamp'2001-01-01'"), ("delisting", "p > 2"))
-    reason = F.nullif(F.concat_ws(",", *[F.when(F.expr(rule), name) for name, rule in rules]), F.lit(""))
-    return rows.select("c_custkey", reason.alias("reason"), F.when(reason.isNull(), 1.0).otherwise(0.0).alias("in_universe"))
+    reason = F.concat_ws(",", *[F.when(F.expr(rule), name) for name, rule in rules])
+    return rows.select("c_custkey", reason.alias("reason"), F.when(reason == "", 1.0).otherwise(0.0).alias("in_universe"))
 
 
 @register("regression_by_group", """
@@ -219,7 +228,7 @@ def information_coefficient(spark, sf_dir):
 @register("quantile_ladder", f"""
 {_FORWARD}, r AS (SELECT *, ({_RANK.format('f')}) / count(*) OVER (PARTITION BY d) AS p FROM c), q AS (SELECT d, greatest(1, least(5, CAST(ceil(p * 5) AS INTEGER))) AS quantile, fwd FROM r),
 l AS (SELECT d, quantile, avg(fwd) AS m, count(*) AS n FROM q GROUP BY 1, 2)
-SELECT d, quantile, round(m, 6) AS mean_return, n FROM l UNION ALL SELECT d, 0, round(max(m) FILTER (WHERE quantile = 5) - max(m) FILTER (WHERE quantile = 1), 6), sum(n)::BIGINT FROM l GROUP BY d""")
+SELECT d, quantile, round(m, 6) AS mean_return, n FROM l UNION ALL SELECT d, 0, round(max(m) FILTER (WHERE quantile = 5) - max(m) FILTER (WHERE quantile = 1), 6), (sum(n) FILTER (WHERE quantile IN (1, 5)))::BIGINT FROM l GROUP BY d""")
 def quantile_ladder(spark, sf_dir):
     out = X.quantile_ladder(_forward(spark, sf_dir), "f", "fwd", ["d"], 5)
     return out.select("d", "quantile", F.round("mean_return", 6).alias("mean_return"), F.col("count").alias("n"))
@@ -286,11 +295,17 @@ def segment_leaders(spark, sf_dir):
 
 
 @register("cap_detector", """
-SELECT k, n FROM (SELECT o_custkey % 50 AS k, count(*) AS n FROM orders GROUP BY 1) QUALIFY n = max(n) OVER ()""")
+WITH c AS (SELECT o_custkey % 100 AS k, least(count(*), 100) AS n FROM orders GROUP BY 1), m AS (SELECT max(n) AS n, count(*) FILTER (WHERE c.n = (SELECT max(n) FROM c)) AS keys FROM c)
+SELECT c.k, c.n FROM c JOIN m ON c.n = m.n WHERE m.n % 100 = 0 AND m.keys > 1""")
 def cap_detector(spark, sf_dir):
-    """Keys whose row count equals the greatest of all."""
-    n = read(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("k")).agg(F.count("*").alias("n"))
-    return n.join(n.agg(F.max("n").alias("n")), "n", "left_semi").select("k", "n")
+    """Keys cut off by their source: more than one key has the greatest row count of all, and that is a multiple of 100.
+
+    The source here hands out 100 rows a key at most.
+    """
+    n = read(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 100).alias("k")).agg(F.least(F.count("*"), F.lit(100)).alias("n"))
+    sizes = n.groupBy("n").agg(F.count("*").alias("keys"))
+    most = sizes.agg(F.max(F.struct("n", "keys")).alias("m")).select("m.*").where("n % 100 = 0 and keys > 1")
+    return n.join(most, "n", "left_semi").select("k", "n")
 
 
 @register("main_contract", """

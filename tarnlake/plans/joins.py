@@ -134,14 +134,20 @@ def dense_price_grid(spark, sf_dir):
     return grid.select("brand", "d", F.round("close", 4).alias("close"), F.round("filled", 4).alias("filled"))
 
 
-@register("entity_prefix_match", """
-SELECT s_suppkey, arg_max(n_name, length(n_name)) AS matched FROM supplier JOIN nation ON n_nationkey = s_nationkey OR starts_with(upper(s_name), upper(n_name)) GROUP BY s_suppkey""")
+@register("entity_prefix_match", r"""
+WITH s AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' Holdings Ltd.' WHEN 2 THEN n_name || ' Steel Works' ELSE c_name END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+h AS (SELECT c_custkey, n_name, CASE WHEN upper(name) = upper(n_name) THEN 1 WHEN upper(regexp_replace(name, '(\s+(Holdings|Group|Co\.|Ltd\.|Inc\.))+$', '', 'i')) = upper(n_name) THEN 2 WHEN starts_with(upper(name), upper(n_name)) THEN 3 END AS rank FROM s, nation)
+SELECT c_custkey, arg_min(n_name, (rank, -length(n_name), n_name)) AS matched, min(rank) AS rank FROM h WHERE rank IS NOT NULL GROUP BY 1""")
 def entity_prefix_match(spark, sf_dir):
-    """Entity resolution in order of priority: exact key, else the longest prefix."""
-    s, n = read(spark, sf_dir, "supplier"), F.broadcast(read(spark, sf_dir, "nation"))  # nation: one row a country
-    exact = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "n_name")
-    prefix = s.join(n, F.upper("s_name").startswith(F.upper(F.col("n_name")))).select("s_suppkey", "n_name")
-    return exact.unionByName(prefix).groupBy("s_suppkey").agg(F.max_by("n_name", F.length("n_name")).alias("matched"))
+    """Entity resolution in order of priority: the full name, the name less its company suffixes, the longest prefix."""
+    from tarnlake.functions.text import resolve_names
+
+    n = read(spark, sf_dir, "nation")
+    rows = read(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat("n_name", F.lit(" Holdings Ltd."))).when(k == 2, F.concat("n_name", F.lit(" Steel Works"))).otherwise(F.col("c_name"))
+    found = resolve_names(rows.select("c_custkey", name.alias("name")), "c_custkey", "name", n, "n_name")
+    return found.select("c_custkey", "matched", "rank")
 
 
 @register("alias_replacement", """
@@ -156,18 +162,31 @@ def alias_replacement(spark, sf_dir):
 
 
 @register("alias_detection", """
-WITH p AS (SELECT a.o_custkey AS old_code, b.o_custkey AS new_code, count(*) AS n FROM orders a JOIN orders b ON a.o_orderdate = b.o_orderdate AND a.o_orderpriority = b.o_orderpriority AND a.o_custkey < b.o_custkey GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT old_code, new_code, n, count(*) OVER (PARTITION BY old_code) AS candidates FROM p""")
+WITH p AS (SELECT a.o_custkey AS old_code, b.o_custkey AS new_code, count(*) AS n FROM orders a JOIN orders b ON a.o_orderdate = b.o_orderdate AND a.o_orderpriority = b.o_orderpriority AND a.o_custkey < b.o_custkey GROUP BY 1, 2 HAVING count(*) >= 2),
+d AS (SELECT old_code, new_code, count(*) AS shared, count(*) FILTER (WHERE x.p = y.p) AS equal FROM p JOIN (SELECT o_custkey, o_orderdate, max(o_orderpriority) AS p FROM orders GROUP BY ALL) x ON x.o_custkey = old_code JOIN (SELECT o_custkey, o_orderdate, max(o_orderpriority) AS p FROM orders GROUP BY ALL) y ON y.o_custkey = new_code AND y.o_orderdate = x.o_orderdate GROUP BY 1, 2)
+SELECT p.old_code, p.new_code, n, shared, round(equal / shared, 6) AS equal_rate, count(*) OVER (PARTITION BY p.old_code) AS candidates FROM p JOIN d ON d.old_code = p.old_code AND d.new_code = p.new_code""")
 def alias_detection(spark, sf_dir):
-    """Codes that share at least so many (date, value) pairs, with the number of candidates of each."""
+    """Codes that share at least so many (date, value) pairs, the share of their common days with equal values, and the
+    number of candidates of each.
+
+    The pairs of a (date, value) group are counted by blocks of its codes, so that a hot day is many groups; days with one
+    code drop out before.
+    """
+    from tarnlake.operators.graph import pairs_within
+
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority")
-    a, b = o.withColumnRenamed("o_custkey", "old_code"), o.withColumnRenamed("o_custkey", "new_code")
-    pairs = a.join(b, ["o_orderdate", "o_orderpriority"]).where("old_code < new_code").groupBy("old_code", "new_code").agg(F.count("*").alias("n")).where("n >= 2")
-    return pairs.withColumn("candidates", F.count("*").over(Window.partitionBy("old_code")))
+    pairs = pairs_within(o, ["o_orderdate", "o_orderpriority"], "o_custkey", "old_code", "new_code")
+    pairs = pairs.groupBy("old_code", "new_code").agg(F.sum("n").alias("n")).where("n >= 2")
+    days = o.groupBy("o_custkey", "o_orderdate").agg(F.max("o_orderpriority").alias("p"))
+    x, y = days.toDF("old_code", "o_orderdate", "px"), days.toDF("new_code", "o_orderdate", "py")
+    shared = pairs.join(x, "old_code").join(y, ["new_code", "o_orderdate"]).groupBy("old_code", "new_code", "n").agg(F.count("*").alias("shared"), F.round(F.avg((F.col("px") == F.col("py")).cast("double")), 6).alias("equal_rate"))
+    return shared.withColumn("candidates", F.count("*").over(Window.partitionBy("old_code")))
 
 
 @register("theta_reachability_match", """
-SELECT a.s_suppkey AS seller, b.s_suppkey AS buyer FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey AND a.s_nationkey = b.s_nationkey AND abs(a.s_acctbal - b.s_acctbal) <= 0.005 * abs(a.s_acctbal)
+WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS src, (s_nationkey * 7 + s_suppkey) % 25 AS dst FROM supplier), r AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT r.src, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.dst WHERE r.hops < 3),
+h AS (SELECT DISTINCT src, dst FROM r WHERE src <> dst)
+SELECT a.s_suppkey AS seller, b.s_suppkey AS buyer FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 0.005 * abs(a.s_acctbal) JOIN h ON h.src = a.s_nationkey AND h.dst = b.s_nationkey
 QUALIFY count(*) OVER (PARTITION BY a.s_suppkey) = 1 AND count(*) OVER (PARTITION BY b.s_suppkey) = 1""")
 def theta_reachability_match(spark, sf_dir):
     """Counterparties inferred from amounts within half a percent and flows of at most three hops, unique on both sides.

@@ -29,7 +29,7 @@ _PAGES = "pg AS (SELECT doc_id AS doc, generate_subscripts(string_split(text, ch
 
 
 @register("quote_evidence", f"""
-WITH {_PAGES}, q AS (SELECT doc, page AS quote_id, substr(text, 5, 30) AS quote, page + 1 AS claimed FROM pg WHERE page < 4 AND length(text) >= 40),
+WITH {_PAGES}, q AS (SELECT doc, page AS quote_id, substr(text, 5, 30) AS quote, page + 1 AS claimed FROM pg WHERE length(text) >= 40),
 h AS (SELECT q.doc, q.quote_id, arg_min(pg.page, (pg.page <> claimed, pg.page)) AS page FROM q JOIN pg ON pg.doc = q.doc AND contains(regexp_replace(pg.text, '\\s+', '', 'g'), regexp_replace(quote, '\\s+', '', 'g')) GROUP BY 1, 2)
 SELECT q.doc, q.quote_id, CAST(h.page AS INTEGER) AS page FROM q LEFT JOIN h ON h.doc = q.doc AND h.quote_id = q.quote_id""")
 def quote_evidence(spark, sf_dir):
@@ -60,21 +60,25 @@ def prompt_budget(spark, sf_dir):
     return T.within_budget(_pages(spark, sf_dir), 1500).select("doc", "page")
 
 
-@register("product_match", """
-WITH a AS (SELECT s_suppkey AS wanted_id, lower(regexp_replace(s_name, '\\s+', '', 'g')) AS a FROM supplier), b AS (SELECT p_partkey AS name_id, lower(regexp_replace(p_name, '\\s+', '', 'g')) AS b FROM part WHERE p_partkey <= 300),
-ga AS (SELECT wanted_id, a, list_distinct(list_transform(generate_series(1, greatest(length(a) - 1, 1)), lambda i: substr(a, i, 2))) AS g FROM a), gb AS (SELECT name_id, b, list_distinct(list_transform(generate_series(1, greatest(length(b) - 1, 1)), lambda i: substr(b, i, 2))) AS h FROM b),
-s AS (SELECT wanted_id, name_id, least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE) AS r, a, b, 2.0 * len(list_intersect(g, h)) / (len(g) + len(h)) AS dice FROM ga JOIN gb ON list_has_any(g, h)),
-t AS (SELECT wanted_id, name_id, CASE WHEN a = b THEN 1.0 WHEN contains(b, a) THEN 0.6 + 0.3 * r WHEN contains(a, b) THEN 0.55 + 0.3 * r ELSE 0.6 * dice END AS score FROM s)
-SELECT wanted_id, name_id, round(score, 6) AS score FROM t WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY wanted_id ORDER BY score DESC, name_id) = 1""")
+@register("product_match", r"""
+WITH a AS (SELECT p_partkey AS wanted_id, replace(CASE p_partkey % 5 WHEN 0 THEN p_name || ' set' WHEN 1 THEN substr(p_name, 1, length(p_name) - 3) WHEN 2 THEN 'x' || substr(p_name, 3) WHEN 3 THEN upper(p_name) ELSE p_type || ' ' || p_size END, ' ', '') AS a FROM part),
+b AS (SELECT min(p_partkey) AS name_id, lower(replace(p_name, ' ', '')) AS b FROM part GROUP BY p_name),
+ga AS (SELECT wanted_id, lower(a) AS a, list_distinct(list_transform(generate_series(1, greatest(length(a) - 1, 1)), lambda i: substr(lower(a), i, 2))) AS g FROM a), gb AS (SELECT name_id, b, list_distinct(list_transform(generate_series(1, greatest(length(b) - 1, 1)), lambda i: substr(b, i, 2))) AS h FROM b),
+s AS (SELECT wanted_id, name_id, least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE) AS r, a, b, 2.0 * len(list_intersect(g, h)) / (len(g) + len(h)) AS dice FROM ga, gb),
+t AS (SELECT wanted_id, name_id, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) THEN 0.6 + 0.3 * r WHEN contains(b, a) THEN CASE WHEN length(a) >= 3 AND r >= 0.5 THEN 0.55 + 0.3 * r ELSE 0 END WHEN dice >= 0.5 THEN 0.6 * dice ELSE 0 END AS score FROM s)
+SELECT wanted_id, name_id, round(score, 6) AS score FROM t WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY wanted_id ORDER BY score DESC, name_id) = 1""")
 def product_match(spark, sf_dir):
-    a = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("wanted_id"), F.col("s_name").alias("text"))
-    b = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("name_id"), F.col("p_name").alias("text"))
-    return T.match_names(a, b, 0.1).withColumn("score", F.round("score", 6))
+    """Reported lines (names with words added, cut short or misspelt) against the names of a catalogue."""
+    part, name, k = read(spark, sf_dir, "part"), F.col("p_name"), F.col("p_partkey") % 5
+    text = F.when(k == 0, F.concat(name, F.lit(" set"))).when(k == 1, F.substring(name, F.lit(1), F.length(name) - 3)).when(k == 2, F.concat(F.lit("x"), F.substring(name, F.lit(3), F.length(name)))).when(k == 3, F.upper(name)).otherwise(F.concat_ws(" ", "p_type", "p_size"))
+    a = part.select(F.col("p_partkey").alias("wanted_id"), text.alias("text"))
+    b = part.groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("name_id"))
+    return T.match_names(a, b).withColumn("score", F.round("score", 6))
 
 
 @register("code_canon", """
 WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lpad(CAST(c_custkey * 397 % 1000000 AS VARCHAR), 6, '0') WHEN 1 THEN 'sh' || lpad(CAST(c_custkey * 397 % 1000000 AS VARCHAR), 6, '0') WHEN 2 THEN lpad(CAST(c_custkey * 397 % 1000000 AS VARCHAR), 6, '0') || '.sz' ELSE c_name END AS code FROM customer)
-SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN upper(code[3:]) || '.SH' WHEN 2 THEN upper(code) WHEN 0 THEN CASE WHEN code[1] IN ('6', '9') THEN code || '.SH' WHEN code[1] IN ('0', '2', '3') THEN code || '.SZ' WHEN code[1] IN ('4', '8') THEN code || '.BJ' ELSE code END END AS code FROM c""")
+SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN upper(code[3:]) || '.SH' WHEN 2 THEN upper(code) WHEN 0 THEN CASE WHEN code[1] IN ('6', '9') THEN code || '.SH' WHEN code[1] IN ('0', '2', '3') THEN code || '.SZ' WHEN code[1] IN ('4', '8') THEN code || '.BJ' END END AS code FROM c""")
 def code_canon(spark, sf_dir):
     number = F.lpad((F.col("c_custkey") * 397 % 1000000).cast("string"), 6, "0")
     k = F.col("c_custkey") % 4
@@ -96,8 +100,8 @@ def quarter_ends(spark, sf_dir):
 
 
 @register("effective_dates", """
-WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5), k AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS k FROM orders WHERE o_orderkey % 7 = 0)
-SELECT o_orderkey, (SELECT min(d) FROM s WHERE d > k) AS effective FROM k""")
+WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5), k AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS k FROM orders)
+SELECT o_orderkey, d AS effective FROM k ASOF LEFT JOIN s ON s.d > k.k""")
 def effective_dates(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     sessions = o.where(F.dayofweek("o_orderdate").between(2, 6)).select(F.to_date("o_orderdate").alias("d")).distinct()
@@ -169,22 +173,6 @@ def realised_volatility(spark, sf_dir):
     return m.select("d", F.round(F.when(F.count("r").over(w) == 20, F.stddev_samp("r").over(w) * F.sqrt(F.lit(244.0)) * 100), 6).alias("vol"))
 
 
-@register("significance")
-def significance(spark, sf_dir):
-    """HAC t, bootstrap interval and largest break of every series, each in a task of its own."""
-    from tarnlake.functions import statistics as S
-
-    def test(f: pd.DataFrame) -> pd.DataFrame:
-        x = f.sort_values("d")["x"].to_numpy(float)
-        t, p = S.hac_t(x)
-        low, high, bp = S.bootstrap_interval(x, 6.0)
-        at, stat = S.sup_f_break(x)
-        return pd.DataFrame({"k": [f["k"].iloc[0]], "n": [len(x)], "t": [t], "p": [p], "low": [low], "high": [high], "boot_p": [bp], "break_at": [at], "break_stat": [stat]})
-
-    m = read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("k"), F.trunc("o_orderdate", "month").alias("d")).agg(F.avg("o_totalprice").alias("x"))
-    return m.groupBy("k").applyInPandas(test, "k string, n long, t double, p double, low double, high double, boot_p double, break_at long, break_stat double")
-
-
 @register("watch_status", """
 SELECT c_custkey, CASE WHEN c_acctbal <= 1000 THEN 'in' WHEN c_acctbal <= 1000 * 1.1 THEN 'near' ELSE 'far' END AS status, round_even(c_acctbal / 997 - 1, 4) AS gap FROM customer""")
 def watch_status(spark, sf_dir):

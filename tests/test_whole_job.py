@@ -17,30 +17,39 @@ def run(spark, name, folder):
     return catalog.queries()[name](spark, folder)
 
 
-def best_name(wanted, names, least):
+def best_name(wanted, names, least=0.45):
     """(name_id, score) by plain loops."""
     grams = lambda x: {x[i : i + 2] for i in range(max(len(x) - 1, 1))}
     a, best = "".join(wanted.split()).lower(), None
     for key, name in names:
         b = "".join(name.split()).lower()
         g, h = grams(a), grams(b)
-        if not g & h:
-            continue
         r = min(len(a), len(b)) / max(len(a), len(b))
-        score = 1.0 if a == b else 0.6 + 0.3 * r if a in b else 0.55 + 0.3 * r if b in a else 0.6 * 2 * len(g & h) / (len(g) + len(h))
+        dice = 2 * len(g & h) / (len(g) + len(h))
+        inside = 0.55 + 0.3 * r if len(a) >= 3 and r >= 0.5 else 0.0
+        score = 1.0 if a == b else 0.6 + 0.3 * r if b in a else inside if a in b else 0.6 * dice if dice >= 0.5 else 0.0
         if score >= least and (best is None or (-score, key) < (-best[1], best[0])):
             best = (key, score)
     return best
 
 
-def test_product_match_tries_every_part(spark, tmp_path):
-    parts = [(1, "steel rod"), (2, "brass pin"), (300, "steel pipe"), (301, "Copper Wire"), (20_000, "steel pipe long"), (20_001, "copper wire")]
-    suppliers = [(1, "copper  wire"), (2, "steel pipe longer"), (3, "brass"), (4, "zzz")]
-    folder = saved(spark, tmp_path, part=(parts, "p_partkey long, p_name string"), supplier=(suppliers, "s_suppkey long, s_name string"))
-    got = {r.wanted_id: (r.name_id, r.score) for r in run(spark, "product_match", folder).collect()}
-    want = {k: best_name(name, parts, 0.1) for k, name in suppliers}
-    assert got == {k: (v[0], round(v[1], 6)) for k, v in want.items() if v}
-    assert got[1] == (301, 1.0) and got[2][0] == 20_000
+def test_matcher_finds_the_best_name(spark):
+    from tarnlake.functions.text import match_names
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    names = sorted({(i, f"{word()} {word()}") for i in range(60)} | {(100, "photoresist"), (101, "photoresist reagents for chips"), (102, "ab")})
+    wanted = [(i, rng.choice([word(), f"{word()} {word()}", names[i % 60][1][:-2] or "x", names[i % 60][1] + word()])) for i in range(150)] + [(900, "Photo Resist"), (901, "a"), (902, "photoresist reagents")]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string").repartition(3)
+    got = {r.wanted_id: (r.name_id, round(r.score, 9)) for r in match_names(frame(wanted, "wanted_id"), frame(names, "name_id")).collect()}
+    want = {k: best_name(text, names) for k, text in wanted}
+    assert got == {k: (v[0], round(v[1], 9)) for k, v in want.items() if v} and len(got) > 60
+    assert got[900] == (100, 1.0) and 902 in got
+    from pyspark.sql import functions as F
+    from tarnlake.functions.text import match_score
+
+    none = spark.range(1).select(match_score(F.lit("parts"), F.lit("spare parts"), F.lit(0.9), F.lit(True)).alias("s")).first().s
+    assert none == 0.0
 
 
 def test_quote_evidence_looks_up_every_long_line(spark, tmp_path):
