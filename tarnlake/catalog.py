@@ -37,7 +37,7 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import every family once."""
-    from tarnlake.plans import aggregates, campaign, company, joins, markets, panel, research, reshape, text_finance  # noqa: F401
+    from tarnlake.plans import aggregates, campaign, company, joins, markets, panel, reports, research, reshape, text_finance  # noqa: F401
 
 
 load()
