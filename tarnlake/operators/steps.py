@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -69,20 +70,32 @@ def factor_panel(panel: DataFrame, names: list[str], start: str | None = None, e
     return out.where(F.col("trade_date") <= end) if end else out
 
 
-def cached_calls(requests: DataFrame, cache: DataFrame, client: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
+LEDGER = "key string, reply string, tokens_in long, tokens_out long, cost double"
+
+
+def cached_calls(requests: DataFrame, cache: DataFrame, client: Callable[[str], str | tuple[str, int, int]], folder: str, price_in: float = 0.0, price_out: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(answers, new): requests (id, payload) answered by sha-256 of the payload from `cache` (key, reply), else by the client.
 
-    Each distinct payload is asked once, on the executors; `new` holds those replies, to be added to the cache.
+    Each distinct payload is asked once, on the executors: the replies are written below `folder` before anything reads
+    them. `new` holds them with the tokens that the client names and what these cost, to be added to cache and ledger. A
+    task that is tried again asks its payloads again.
     """
     keyed = requests.withColumn("key", F.sha2("payload", 256))
-    missing = keyed.select("key", "payload").distinct().join(cache, "key", "left_anti")
+    missing = keyed.select("key", "payload").dropDuplicates(["key"]).join(cache, "key", "left_anti")
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"key": f["key"], "reply": [client(p) for p in f["payload"]]})
-
-    new = missing.mapInPandas(ask, "key string, reply string")
-    known = cache.select("key", "reply").unionByName(new)
+            got = [client(p) for p in f["payload"]]
+            full = [x if isinstance(x, tuple) else (x, 0, 0) for x in got]
+            yield pd.DataFrame({
+                "key": f["key"].to_numpy(), "reply": [r for r, *_ in full], "tokens_in": [a for _, a, _ in full], "tokens_out": [b for *_, b in full],
+                "cost": [a * price_in + b * price_out for _, a, b in full],
+            })
+
+    path = f"{folder.rstrip('/')}/replies-{uuid.uuid4().hex}"
+    missing.mapInPandas(ask, LEDGER).write.parquet(path)
+    new = requests.sparkSession.read.schema(LEDGER).parquet(path)
+    known = cache.select("key", "reply").unionByName(new.select("key", "reply"))
     return keyed.join(known, "key", "left").select("id", "reply"), new
 
 

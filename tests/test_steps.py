@@ -27,10 +27,10 @@ def test_factors(spark):
     assert [(r.trade_date, r.factor, r.value_raw) for r in got] == [("20240101", "double_close", 2.0)]
 
 
-def test_cached_calls(spark):
+def test_cached_calls(spark, tmp_path):
     requests = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "id int, payload string")
     cache = requests.where("id = 2").select(F.sha2("payload", 256).alias("key"), F.lit("known").alias("reply"))
-    answers, new = steps.cached_calls(requests.where("payload is not null"), cache, lambda p: f"reply to {p}")
+    answers, new = steps.cached_calls(requests.where("payload is not null"), cache, lambda p: f"reply to {p}", str(tmp_path))
     assert {r.id: r.reply for r in answers.collect()} == {1: "reply to a", 2: "known", 3: "reply to a"}
     assert new.count() == 1
 
