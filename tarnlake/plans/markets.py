@@ -14,7 +14,7 @@ from tarnlake.plans.joins import read
 RATE = "ln(1 + 0.018 * days / 360) * 365 / days"
 
 _MASTER = """m AS (SELECT p_partkey AS contract, DATE '2026-01-05' + CAST(substr(p_brand, 7) AS INTEGER) AS trade_date, CASE WHEN p_brand = 'Brand#7' OR (p_partkey // 2) % 2 = 0 THEN 26 ELSE 61 END AS days,
-round(1.5 + p_size * 0.05, 2) AS strike, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'P' END AS side, CASE WHEN p_partkey % 11 = 0 THEN p_name || ' A' ELSE p_name END AS name, p_partkey AS k FROM part),
+CAST(round(1.5 + p_size * 0.05, 2) AS DOUBLE) AS strike, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'P' END AS side, CASE WHEN p_partkey % 11 = 0 THEN p_name || ' A' ELSE p_name END AS name, p_partkey AS k FROM part),
 v AS (SELECT *, strike - 3.04 AS x FROM m), x AS (SELECT *, round(greatest(CASE WHEN side = 'C' THEN -x ELSE x END, 0) + (0.06 + days / 800.0) * exp(-4 * x * x), 4) AS settle FROM v),
 chain AS (SELECT trade_date, trade_date + days AS expiry, days, strike, side, name, contract, CASE WHEN k % 13 = 0 THEN 0.0 ELSE settle END AS close, settle, CAST(k % 5 AS DOUBLE) AS vol, CAST(1 + k % 17 AS DOUBLE) AS oi FROM x WHERE NOT ends_with(name, 'A'))"""
 
