@@ -45,11 +45,13 @@ def backfill_gaps(df: DataFrame, key: str, value: str, start: str, end: str, fir
 def dense_grid(facts: DataFrame, key: str, day: str, days: DataFrame, values: list[str]) -> DataFrame:
     """Every day of `days` between a key's first and last row; missing values are NULL.
 
-    `days` holds one row a session, so it is small; the grid is made by a range join on each key's bounds.
+    Each key's row of bounds carries the sessions as one array (a session is a day: some 250 a year, whatever the number of
+    keys) and unfolds those between its bounds, so nothing is compared but a key with its own days.
     """
     bounds = facts.groupBy(key).agg(F.min(day).alias("__a"), F.max(day).alias("__b"))
-    sessions = days.select(F.col(day).alias("__d")).distinct()
-    grid = bounds.join(F.broadcast(sessions), F.col("__d").between(F.col("__a"), F.col("__b"))).select(key, F.col("__d").alias(day))
+    sessions = days.select(F.col(day)).distinct().agg(F.sort_array(F.collect_list(day)).alias("__all"))
+    inside = F.filter("__all", lambda d: d.between(F.col("__a"), F.col("__b")))
+    grid = bounds.join(F.broadcast(sessions), F.lit(True)).select(key, F.explode(inside).alias(day))  # one row
     return grid.join(facts.select(key, day, *values), [key, day], "left")
 
 

@@ -122,16 +122,15 @@ def industry_intervals(spark, sf_dir):
 
 
 @register("dense_price_grid", """
-WITH f AS (SELECT p_brand AS brand, date_trunc('month', l_shipdate) AS d, sum(l_extendedprice) AS close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY 1, 2),
-s AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS d FROM lineitem), b AS (SELECT brand, min(d) AS a, max(d) AS z FROM f GROUP BY 1),
-g AS (SELECT b.brand, s.d, f.close FROM b JOIN s ON s.d BETWEEN b.a AND b.z LEFT JOIN f ON f.brand = b.brand AND f.d = s.d)
-SELECT brand, CAST(d AS DATE) AS d, round(close, 4) AS close, round(last_value(close IGNORE NULLS) OVER (PARTITION BY brand ORDER BY d), 4) AS filled FROM g""")
+WITH f AS (SELECT l_partkey AS part, date_trunc('month', l_shipdate) AS d, sum(l_extendedprice) AS close FROM lineitem GROUP BY 1, 2),
+s AS (SELECT DISTINCT d FROM f), b AS (SELECT part, min(d) AS a, max(d) AS z FROM f GROUP BY 1),
+g AS (SELECT b.part, s.d, f.close FROM b JOIN s ON s.d BETWEEN b.a AND b.z LEFT JOIN f ON f.part = b.part AND f.d = s.d)
+SELECT part, CAST(d AS DATE) AS d, round(close, 4) AS close, round(last_value(close IGNORE NULLS) OVER (PARTITION BY part ORDER BY d), 4) AS filled FROM g""")
 def dense_price_grid(spark, sf_dir):
     """Every session between a key's first and last bar, suspended ones NULL, and the last price carried forward."""
-    lines = read(spark, sf_dir, "lineitem").withColumn("d", F.trunc("l_shipdate", "month"))
-    facts = lines.where("l_quantity > 49").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("brand"), "d").agg(F.sum("l_extendedprice").alias("close"))
-    grid = fill_forward(dense_grid(facts, "brand", "d", lines.select("d"), ["close"]), ["brand"], "d", "close", "filled")
-    return grid.select("brand", "d", F.round("close", 4).alias("close"), F.round("filled", 4).alias("filled"))
+    facts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.trunc("l_shipdate", "month").alias("d")).agg(F.sum("l_extendedprice").alias("close"))
+    grid = fill_forward(dense_grid(facts, "part", "d", facts.select("d"), ["close"]), ["part"], "d", "close", "filled")
+    return grid.select("part", "d", F.round("close", 4).alias("close"), F.round("filled", 4).alias("filled"))
 
 
 @register("entity_prefix_match", r"""
