@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,13 +52,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir; a local temporary folder only where that is unset (tests)."""
+    """A new folder name below spark.checkpoint.dir; where that is unset, a local temporary folder on a local master only."""
     small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "tarnlake-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tarnlake/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tarnlake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application left below its workspace; call it when no result is read any more."""
+    _delete(spark, os.path.dirname(workspace(spark, "none")))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 #: Rows of an intermediate's file at least, where their number is about known: small tables don't become many tiny files.
@@ -82,9 +94,7 @@ def discard(df: DataFrame | None) -> None:
     """Delete what durable() wrote, once nothing reads it any more."""
     path = getattr(df, "_tarnlake_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _delete(df.sparkSession, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -8,9 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.llm.common import tidy
+
 #: Training characters per language (a documented bound; rows are taken by a hash of doc_id until it is met, one at least).
 TRAIN_CHARS = 400_000
 #: Bytes of context at most.
@@ -65,8 +68,8 @@ class Trees:
 
 
 def fit(samples: list[tuple[str, list[bytes]]], order: int = ORDER) -> Trees:
-    """Trees of labelled texts. A context that was never seen in any language is skipped without cost; within a seen
-    context, symbols not seen there cost an escape (method C: distinct symbols over distinct symbols plus count) and are
+    """Trees of labelled texts. A context that was never seen in any language is skipped without cost, and so it is
+    in a language that lacks it where another one has it: all are then coded one order lower. Within a seen context, symbols not seen there cost an escape (method C: distinct symbols over distinct symbols plus count) and are
     coded one order lower, down to equal shares of all bytes."""
     samples = sorted((lang, texts) for lang, texts in samples if any(texts))
     if not samples:
@@ -184,7 +187,7 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "lang_pred": lang, "score": score, "cost_ratio": ratio})
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, cost_ratio double")
+    return rows.mapInPandas(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, cost_ratio double")
 
 
 def chunks(indices: list[int], texts: list[str], chars: int = 300_000) -> Iterator[list[int]]:
@@ -205,25 +208,28 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, reject_ratio: float = REJECT_RATIO) -> DataFrame:
-    """Rows of `docs` in a learned language: `und` and texts that no learned language models well go. All columns stay."""
+    """Rows of `docs` in a learned language: `und` and texts that no learned language models well go. All columns stay.
+
+    Null and empty texts and those without a letter are `und`; rows that repeat are judged alike.
+    """
     trees = learn(docs)
-    names = docs.columns
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pickle.dumps(trees))
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(trees))
+    place = [c.lower() for c in docs.columns].index("text")
     box: list[Trees] = []
 
-    @F.pandas_udf("boolean")
-    def fits(text: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not box:
             box.append(pickle.loads(shared.value))
-        model, texts = box[0], text.tolist()
-        out = np.zeros(len(texts), bool)
-        for group in chunks([i for i, t in enumerate(texts) if has_letter(t)] if model.languages else [], texts):
-            data = [texts[i].encode("utf-8", "surrogatepass") for i in group]
-            costs = model.costs(data)
-            best = costs.argmin(1)
-            each = costs[np.arange(len(data)), best] / [len(d) for d in data]
-            out[group] = each <= reject_ratio * model.usual[best]
-        return pd.Series(out)
-
-    return docs.where(fits(F.col("text"))).select(*names)
+        model = box[0]
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            fits = np.zeros(len(texts), bool)
+            for group in chunks([i for i, t in enumerate(texts) if has_letter(t)] if model.languages else [], texts):
+                data = [texts[i].encode("utf-8", "surrogatepass") for i in group]
+                costs = model.costs(data)
+                best = costs.argmin(1)
+                each = costs[np.arange(len(data)), best] / [len(d) for d in data]
+                fits[group] = each <= reject_ratio * model.usual[best]
+            yield batch.filter(pa.array(fits))
+
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import connected_components, discard, durable, less, small_broadcast
+from tarnlake.llm.common import connected_components, discard, durable, less, small_broadcast, tidy
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, plan: Plan):
         self.plan, self.docs = plan, docs.select("doc_id", "text")
-        rows = self.docs.mapInArrow(lambda b: sketch_rows(b, plan), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, marks binary")
+        rows = self.docs.mapInArrow(tidy(lambda b: sketch_rows(b, plan)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, marks binary")
         self.sketches = durable(rows, "sketches")
         self.n = self.sketches.count()
         # one representative of equal sets; minima combine before the shuffle, so a hot set is one row per task
@@ -189,14 +189,14 @@ class NearDuplicates:
         nodes = nodes.distinct().toDF("doc_id")
         wanted = self.docs.join(small_broadcast(nodes), "doc_id", "left_semi")
         width = self.plan.width
-        return durable(wanted.mapInArrow(lambda b: set_rows(b, width), "node long, shingles binary").dropDuplicates(["node"]), "sets", self.n)
+        return durable(wanted.mapInArrow(tidy(lambda b: set_rows(b, width)), "node long, shingles binary").dropDuplicates(["node"]), "sets", self.n)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Compare the full sets of pairs."""
         similar = self.plan.similar
         sets = self.sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")))
         rows = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-        out = durable(rows.select("u", "v", "su", "sv").mapInArrow(lambda b: confirmed(b, similar), "u long, v long"), "links", self.n)
+        out = durable(rows.select("u", "v", "su", "sv").mapInArrow(tidy(lambda b: confirmed(b, similar)), "u long, v long"), "links", self.n)
         discard(sets)
         return out
 

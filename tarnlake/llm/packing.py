@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnlake.llm.common import buckets_for, durable, global_rank
+from tarnlake.llm.common import buckets_for, durable, global_rank, tidy
 
 CAPACITY, END_ID, CUTS = 2048, 1, 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int"
@@ -73,7 +73,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: i
     pieces are placed first-fit by descending length. Equal or null doc_id values are kept as rows of their own.
     """
     spark = docs.sparkSession
-    pieces = durable(docs.select("doc_id", "text").mapInArrow(lambda b: piece_rows(b, tokenizer_path, end_id, capacity), PIECES), "pieces")
+    pieces = durable(docs.select("doc_id", "text").mapInArrow(tidy(lambda b: piece_rows(b, tokenizer_path, end_id, capacity)), PIECES), "pieces")
     bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets_for(pieces.count())))
     order: list[Column] = [F.col(c) for c in ("doc_id", "start", "ids_crc32", "doc_tokens")]
     ranked = durable(global_rank(pieces.withColumn("b", bucket), "b", order, "rank", ("k",)).drop("b"), "ranked")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnlake.llm.common import small_broadcast, workspace
+from tarnlake.llm.common import small_broadcast, tidy, workspace
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
@@ -51,7 +51,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     (null first); an empty table gives files without rows.
     """
     dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
-    rows = dealt.mapInArrow(lambda batches: encode_rows(batches, tokenizer_path, end_id), SCHEMA)
+    rows = dealt.mapInArrow(tidy(lambda batches: encode_rows(batches, tokenizer_path, end_id)), SCHEMA)
     rows.write.options(**{
         "compression": "zstd",
         "parquet.writer.version": "v2",

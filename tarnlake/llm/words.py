@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Distinct words a worker remembers; beyond it the memory starts anew, results do not change.
-MEMORY_WORDS = 600_000
+#: Distinct words that a task remembers (of LONGEST bytes at most, some 16 MB in all); beyond it the memory starts anew,
+#: results do not change.
+MEMORY_WORDS, LONGEST = 80_000, 64
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -14,9 +15,11 @@ class WordHashes(dict):
     """word bytes -> 64-bit hash, filled on demand."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= MEMORY_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
