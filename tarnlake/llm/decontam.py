@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.common import BROADCAST_ROWS, durable, less
 
-#: A window of so many words, of which at least NEED stand in both texts at the same distance.
-WINDOW, NEED = 13, 11
+#: A window has so many words (a shorter item is one window), of which two in WINDOW may differ: need(n) must agree.
+WINDOW, FREE = 13, 2
+#: Items of fewer words are no evidence: their words stand together in texts that never saw them.
+LEAST_ITEM = 3
 #: 1: the word counts, 0: any word may stand there. Together they hit every window of 13 words with up to two substitutions.
 MASKS = ("111111", "11001010011")
+#: For items below WINDOW words, of which one may differ from seven words on: three words in a row always agree.
+SHORT_MASKS = ("111",)
+
+
+def need(n: Column) -> Column:
+    """Words that must agree in a window of n."""
+    return n - F.floor(n * FREE / WINDOW).cast("int")
 
 
 def words(text: Column) -> Column:
@@ -45,16 +54,31 @@ def seeds(table: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> DataFra
     return out.select(key, "seed", place.alias("at"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched): pairs with a window of WINDOW words of which at least NEED agree, and the most that do.
+def hits(docs: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """(doc_id, item_id, shift): where a seed of an item stands in a text, by the distance of the two places."""
+    test = seeds(items, "item_id", masks).distinct()
+    # the test side is broadcast only after a count; beyond it, Spark's own join stands, whose large keys AQE splits
+    side = F.broadcast(test) if test.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else test
+    found = seeds(docs, "doc_id", masks).join(side.withColumnRenamed("at", "q"), "seed")
+    return found.select("doc_id", "item_id", (F.col("at") - F.col("q")).alias("shift")).distinct()
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, least_item: int = LEAST_ITEM) -> DataFrame:
+    """(doc_id, item_id, matched): pairs with a window of WINDOW words of which need(WINDOW) agree, and the most that do.
 
-    Items of 6 to 12 words must occur whole and unchanged; shorter ones are no evidence and never match.
+    An item of fewer words is one window and must occur whole: of 7 to 12 words with one substitution at most, of
+    `least_item` to 6 unchanged; shorter ones never match. Texts are read twice, once for seeds and once around hits, and
+    do not move unless the hits are too many to broadcast.
     """
-    test = seeds(benchmark.where("item_id is not null"), "item_id").distinct()
-    # the test side is broadcast only after a count; beyond it, Spark's own choice stands
-    side = F.broadcast(test) if test.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else test
-    hits = seeds(docs, "doc_id").join(side.withColumnRenamed("at", "q"), "seed").select("doc_id", "item_id", (F.col("at") - F.col("q")).alias("shift")).distinct()
-    marked = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))  # bounded by the places of one text
+    known = benchmark.where("item_id is not null").withColumn("n", F.size(words(F.col("text"))))
+    long, short = known.where(F.col("n") >= WINDOW), known.where((F.col("n") < WINDOW) & (F.col("n") >= least_item))
+    found = hits(docs, long, MASKS)
+    if not short.isEmpty():
+        found = found.unionByName(hits(docs, short, SHORT_MASKS)).distinct()
+    found = durable(found, "hits")
+    marked = found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))  # bounded by the places of one text
+    if found.count() <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)
     texts = docs.select("doc_id", "text").join(marked, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "hits")
     items = benchmark.select(F.col("item_id").alias("i"), words(F.col("text")).alias("v"))
     pairs = texts.select("doc_id", "w", F.explode("hits").alias("hit")).select("doc_id", "w", "hit.*").join(items, F.col("item_id") == F.col("i"))
@@ -71,7 +95,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rest = F.when(F.size("same") > window, F.sequence(window, F.size("same") - 1)).otherwise(F.array().cast("array<int>"))
     most = F.aggregate(rest, F.struct(total.alias("now"), total.alias("most")), step, lambda s: s["most"])
     found = pairs.where(F.size("same") >= window).select("doc_id", "item_id", "n", most.alias("matched"))
-    found = found.where(F.col("matched") >= F.when(F.col("n") >= WINDOW, F.lit(NEED)).otherwise(F.col("n")))
+    found = found.where(F.col("matched") >= need(F.least(F.col("n"), F.lit(WINDOW))))
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
@@ -97,14 +121,14 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text,
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS v FROM benchmark),
 dw AS (SELECT doc_id, len(w) AS n_doc, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 bw AS (SELECT item_id, len(v) AS n_item, unnest(v) AS word, generate_subscripts(v, 1) AS q FROM b),
-hit AS (SELECT doc_id, item_id, n_doc, n_item, p - q AS shift, q FROM dw JOIN bw USING (word) WHERE n_item >= 6),
+hit AS (SELECT doc_id, item_id, n_doc, n_item, p - q AS shift, q FROM dw JOIN bw USING (word) WHERE n_item >= 3),
 few AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS c FROM hit),
 run AS (SELECT doc_id, item_id, n_item, least(13, n_item) AS win,
   least(n_item, n_doc - shift) - greatest(0, -shift) AS both_have,
   count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS same
-  FROM few WHERE c >= least(11, n_item)),
+  FROM few WHERE c >= least(13, n_item) - least(13, n_item) * 2 // 13),
 found AS (SELECT doc_id, item_id, max(least(same, win)) AS matched FROM run
-  WHERE both_have >= win AND same >= CASE WHEN n_item >= 13 THEN 11 ELSE n_item END GROUP BY ALL),
+  WHERE both_have >= win AND same >= win - win * 2 // 13 GROUP BY ALL),
 per AS (SELECT doc_id, list_sort(list(CAST(item_id AS BIGINT))) AS item_ids, max(matched) AS matched FROM found GROUP BY doc_id)
 SELECT documents.doc_id, per.item_ids IS NOT NULL AS contaminated, coalesce(per.item_ids, CAST([] AS BIGINT[])) AS item_ids,
   CAST(coalesce(per.matched, 0) AS BIGINT) AS matched
