@@ -12,9 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tarnlake.llm.common import tidy
+
+#: Kinds that fixed patterns find, then those that only the model does.
 KINDS = ("email", "ip", "card", "phone")
+MODEL_KINDS = (*KINDS, "secret")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -35,12 +39,17 @@ def emails(text: str) -> list[tuple[int, int]]:
     out, after, at = [], 0, text.find("@")
     while at >= 0:
         domain = _DOMAIN.match(text, at)
-        local = _LOCAL.search(text[max(after, at - 4096) : at]) if domain else None
-        if local and local.start() == 0 and at - 4096 > after:  # a very long run: look at all of it
-            local = _LOCAL.search(text[after:at])
-        if local:
-            out.append((at - len(local.group()), domain.end()))
-            after = domain.end()
+        if domain:
+            start, reach = at, 64
+            while start > after:  # the run of local characters before the @, looked at in growing stretches
+                low = max(after, start - reach)
+                stripped = low + len(text[low:start].rstrip(_LOCAL))
+                start, reach = stripped, 8 * reach
+                if stripped > low:
+                    break
+            if start < at:
+                out.append((start, domain.end()))
+                after = domain.end()
         at = text.find("@", max(at + 1, after))
     return out
 
@@ -66,8 +75,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _OWN = "0123456789@.-+() _%:="
 CLASSES = len(_OWN) + 4
 #: Tags: outside, then begin and inside of each kind.
-TAGS = 1 + 2 * len(KINDS)
-HIDDEN, WINDOW, STRIDE = 12, 64, 32
+TAGS = 1 + 2 * len(MODEL_KINDS)
+HIDDEN, WINDOW, STRIDE = 16, 64, 32
 #: Seeded training windows, passes over them, and windows of a step.
 TRAIN_WINDOWS, PASSES, STEP = 3_000, 10, 100
 
@@ -187,19 +196,28 @@ def labelled_windows(count: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray
         a, b, c = digits(3), digits(3), digits(4)
         return str(rng.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"{a}-{b}-{c}"]))
 
+    def secret() -> str:
+        hexes, letters = list("0123456789abcdef"), list("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        body = "".join(rng.choice(hexes if rng.random() < 0.6 else letters, rng.integers(24, 49)))
+        return str(rng.choice(["", "", "", "sk-", "ghp_", "AKIA"])) + (body.upper() if rng.random() < 0.2 else body)
+
     make = (
         lambda: f"{word()}.{word()}{rng.integers(0, 99)}@{word()}{rng.choice(['', '1', '.' + word()])}.{rng.choice(['com', 'org', 'net'])}",
-        lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), card, phone,
+        lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), card, phone, secret,
     )
-    alike = (lambda: digits(rng.integers(1, 9)), lambda: f"{rng.integers(1900, 2030)}", lambda: f"{digits(2)}.{digits(2)}", lambda: "".join(rng.choice(list("0123456789abcdef"), 24)), lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"@{word()}", lambda: digits(22))
+    alike = (lambda: digits(rng.integers(1, 9)), lambda: f"{rng.integers(1900, 2030)}", lambda: f"{digits(2)}.{digits(2)}", lambda: "".join(rng.choice(list("0123456789abcdef"), rng.integers(6, 13))), lambda: f"{word()}{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"@{word()}", lambda: digits(22))
     xs, ys = [], []
     while len(xs) < count:
         text, tags = "", []
         while len(text) < 3 * WINDOW:
-            draw, kind = rng.random(), int(rng.integers(0, len(KINDS)))
+            draw, kind = rng.random(), int(rng.integers(0, len(MODEL_KINDS)))
             part = make[kind]() if draw < 0.14 else alike[rng.integers(0, len(alike))]() if draw < 0.26 else word()
             tags += [1 + 2 * kind] + [2 + 2 * kind] * (len(part) - 1) if draw < 0.14 else [0] * len(part)
-            end = str(rng.choice([" ", " ", " ", ". ", ", ", "\n", "### ", " | "]))
+            quote = str(rng.choice(["", "", "", '"', "'"])) if draw < 0.26 else ""
+            if quote:
+                lead = str(rng.choice(["", " = ", "=", ": "])) + quote
+                text, tags = text + lead, [*tags[: len(tags) - len(part)], *[0] * len(lead), *tags[len(tags) - len(part) :]]
+            end = quote + str(rng.choice([" ", " ", " ", ". ", ", ", "\n", "### ", " | "]))
             text, tags = text + part + end, tags + [0] * len(end)
         at = int(rng.integers(0, WINDOW))
         xs.append(classes_of(text)[at : at + WINDOW])
@@ -241,7 +259,8 @@ def train(windows: int = TRAIN_WINDOWS, passes: int = PASSES) -> Tagger:
 
 
 def windows_of(text: str) -> list[int]:
-    """Starts of the overlapping windows that hold a digit or @: without one, no kind of personal data can stand there."""
+    """Starts of the overlapping windows that hold a digit or @: every kind has one of them in any span, so windows without
+    hold no whole span, and a span that crosses into one is covered by those that hold its digits."""
     last = max(0, len(text) - WINDOW)
     starts: set[int] = set()
     at = _ANCHOR.search(text)
@@ -298,7 +317,8 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> list[int]:
 
 
 def spans_of(tags: list[int], offset: int, text: str) -> list[tuple[int, int, int]]:
-    """Runs of one kind, blanks cut off; those without enough digits or the sign of their kind are no spans."""
+    """Runs of one kind, blanks cut off; what lacks the digits or the sign that make its kind is no span: an @ in emails, four
+    numbers in addresses, 14 to 19 digits in cards, 10 to 15 in phones, 20 characters with a digit and another in secrets."""
     out, start, kind = [], None, None
     for t, tag in enumerate([*tags, 0]):
         now = None if tag == 0 else (tag - 1) // 2
@@ -310,7 +330,7 @@ def spans_of(tags: list[int], offset: int, text: str) -> list[tuple[int, int, in
                 b -= 1
             part = text[a:b]
             digits = sum(c.isdigit() for c in part)
-            if (kind == 0 and "@" in part and len(part) > 5) or (kind == 1 and part.count(".") == 3 and 4 <= digits <= 12) or (kind == 2 and 14 <= digits <= 19) or (kind == 3 and 10 <= digits <= 15):
+            if (kind == 0 and "@" in part and len(part) > 5) or (kind == 1 and part.count(".") == 3 and 4 <= digits <= 12) or (kind == 2 and 14 <= digits <= 19) or (kind == 3 and 10 <= digits <= 15) or (kind == 4 and b - a >= 20 and digits and not part.isdigit()):
                 out.append((a, kind, b))
             start = None
         if now is not None and start is None:
@@ -331,11 +351,12 @@ def merged(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -
 
 
 def render(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{MODEL_KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the base spans, and all spans, for every row (null text: empty).
+    """doc_id, counts and digest of the base spans, and all spans, for every row (null text: empty). The model adds spans of
+    the four kinds that the patterns miss (national phone numbers, say), and secrets: long random keys and tokens.
 
     The digest is the SHA-256 of the rendered base spans; without any, of no bytes. Repeated rows are each answered.
     """
@@ -354,4 +375,4 @@ def find(docs: DataFrame) -> DataFrame:
             spans = pa.array([render(merged(r, added.get(i, []))) for i, r in enumerate(rows)])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *counts, digests, spans], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
