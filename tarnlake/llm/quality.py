@@ -17,11 +17,9 @@ from tarnlake.llm.common import discard, durable
 TRAIN_DOCS = 6_000
 #: Width of the hashed feature space, and passes over the sample.
 FEATURES, PASSES = 1 << 17, 6
-#: A labeller condemns at most this share of good texts: without the bound, EM calls a fault that only one labeller sees noise.
-FALSE_ALARM = 0.01
 #: Votes of a labeller.
 ABSTAIN, GOOD, BAD = 0, 1, 2
-LABELLERS = ("varied", "calm_case", "few_symbols", "no_runs", "fresh_lines", "word_shape", "length", "toxicity")
+LABELLERS = ("varied", "calm_case", "few_symbols", "no_runs", "fresh_lines", "word_shape", "length")
 _SYMBOLS = b"#$%&*!|<>{}[]=^~_\\/@+"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
@@ -42,8 +40,8 @@ def measures(text: str | None) -> tuple[list[bytes], np.ndarray]:
     ])
 
 
-def votes(m: np.ndarray, toxic: int | None) -> list[int]:
-    """One vote of each labeller; grey zones abstain. `toxic` is a known label, if any."""
+def votes(m: np.ndarray) -> list[int]:
+    """One vote of each heuristic labeller; grey zones abstain."""
     words, varied, upper, symbols, run, lines, shape, _ = m
     pick = lambda good, bad: GOOD if good else BAD if bad else ABSTAIN
     return [
@@ -54,53 +52,68 @@ def votes(m: np.ndarray, toxic: int | None) -> list[int]:
         pick(lines == 0, lines > 0.7),
         pick(2.5 <= shape <= 10, shape > 25 or words > 0 and shape < 1.5),
         pick(words >= 15, words == 0),
-        BAD if toxic else ABSTAIN,
     ]
 
 
 @dataclass
 class Labelling:
-    """prior of a good text; table[labeller, class, vote] with class 0 good, 1 bad."""
+    """share[class] and table[labeller, class, vote]; class 0 is good, each other one a way of being bad. Abstaining is a vote."""
 
-    prior: float
+    share: np.ndarray
     table: np.ndarray
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        logs = np.log(np.array([self.prior, 1 - self.prior]))[None, :].repeat(len(patterns), 0)
+    def joint(self, patterns: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each class and pattern."""
+        logs = np.log(self.share)[None, :].repeat(len(patterns), 0)
         for k in range(patterns.shape[1]):
-            seen = patterns[:, k] != ABSTAIN
-            logs[seen] += np.log(self.table[k][:, patterns[seen, k]]).T
-        logs -= logs.max(1, keepdims=True)
-        p = np.exp(logs)
+            logs += np.log(self.table[k][:, patterns[:, k]]).T
+        return logs
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability of a good text."""
+        logs = self.joint(patterns)
+        p = np.exp(logs - logs.max(1, keepdims=True))
         return p[:, 0] / p.sum(1)
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> Labelling:
-    """Accuracies of all labellers from how often each pattern of votes occurs (abstentions carry nothing).
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, rounds: int = 100) -> Labelling:
+    """How often each labeller votes what on good and on bad texts, and how many there are, from the counts of each pattern.
 
-    Labellers look for different faults, so it starts from bad texts as those with any bad vote; smoothing keeps every probability off 0 and 1 and leans each
-    labeller towards its own meaning, so the classes cannot swap.
+    known: GOOD or BAD where people have said so of the texts of a pattern, else ABSTAIN. Those texts keep their class; they
+    tell a fault that a single labeller sees from a false alarm, so with any of them there is a way of being bad for each
+    labeller beside a common one. Without, bad texts are one class. A few counts of each vote keep probabilities off 0.
     """
     n = patterns.shape[1] if patterns.ndim == 2 else len(LABELLERS)
-    model = Labelling(0.8, np.tile(np.array([[0.01, 0.9, 0.1], [0.01, 0.3, 0.7]]), (n, 1, 1)))
+    known = np.full(len(patterns), ABSTAIN) if known is None else known
+    ways = n if (known != ABSTAIN).any() else 0
+    few = np.tile(np.array([0.5, 0.5, 0.5]), (n, 2 + ways, 1))
+    few[:, 0] = [0.5, 1.0, 0.02]
+    for k in range(ways):
+        few[:, 2 + k] = [0.5, 1.0, 0.1]
+        few[k, 2 + k] = [0.2, 0.1, 2.0]
+    model = Labelling(np.full(2 + ways, 1 / (2 + ways)), few / few.sum(2, keepdims=True))
     if not len(patterns):
         return model
-    good = 1 / (1 + np.exp(4.0 * (patterns == BAD).sum(1) - 2.0))
-    lean = counts.sum() * 0.002 + 2
+    bad = patterns == BAD
+    start = np.concatenate([np.exp(2.0 - 4.0 * bad.sum(1, keepdims=True)), 0.3 + 0.7 * (bad.sum(1, keepdims=True) > 0), bad[:, :ways]], 1)
+    fixed = np.ones(start.shape)
+    fixed[known == GOOD, 1:] = 1e-9
+    fixed[known == BAD, 0] = 1e-9
+    weight = start * fixed
     for _ in range(rounds):
+        weight = weight / weight.sum(1, keepdims=True)
+        mass = counts[:, None] * weight
         for k in range(n):
-            for c, weight in enumerate((good, 1 - good)):
-                g = (counts * weight)[patterns[:, k] == GOOD].sum() + lean * (0.9 if c == 0 else 0.4)
-                b = (counts * weight)[patterns[:, k] == BAD].sum() + lean * (0.1 if c == 0 else 0.6)
-                wrong = min(b / (g + b), FALSE_ALARM) if c == 0 else b / (g + b)
-                model.table[k][c] = [1.0, 1 - wrong, wrong]
-        model.prior = float(np.clip((counts * good).sum() / counts.sum(), 0.02, 0.98))
-        good = model.posterior(patterns)
+            seen = np.stack([np.bincount(patterns[:, k], mass[:, c], 3) for c in range(2 + ways)]) + few[k]
+            model.table[k] = seen / seen.sum(1, keepdims=True)
+        model.share = np.maximum(mass.sum(0), 0.5) / np.maximum(mass.sum(0), 0.5).sum()
+        logs = model.joint(patterns)
+        weight = np.exp(logs - logs.max(1, keepdims=True)) * fixed + 1e-300
     return model
 
 
-def features(words: list[bytes], m: np.ndarray) -> np.ndarray:
-    """Sorted distinct places of hashed words, of the first 4 to 6 letters of words, and of the figures in steps."""
+def word_keys(words: list[bytes]) -> set[int]:
+    """64-bit hashes of the words and of the first 4 to 6 letters of longer ones."""
     import xxhash
 
     h = xxhash.xxh3_64_intdigest
@@ -111,13 +124,57 @@ def features(words: list[bytes], m: np.ndarray) -> np.ndarray:
             found.add(h(w))
             if len(w) > 5:
                 found.update((h(w[:4], 4), h(w[:5], 5), h(w[:6], 6)))
-    out = {x % (FEATURES - 256) for x in found}
+    return found
+
+
+def places(keys: set[int], m: np.ndarray) -> np.ndarray:
+    """Sorted distinct places of keys, and of the figures in steps."""
+    out = {x % (FEATURES - 256) for x in keys}
     edges = ((5, 15, 50, 200), (0.5, 0.8, 1.1, 1.5), (0.1, 0.2, 0.4, 0.7), (0.05, 0.15, 0.4, 0.8), (0.01, 0.05, 0.2, 0.5), (0.01, 0.2, 0.5, 0.8), (2, 4, 8, 14))
     for k, steps in enumerate(edges):
         out.add(FEATURES - 256 + 8 * k + int(np.searchsorted(steps, m[k], side="right")))
     return np.array(sorted(out), np.int64)
 
 
+def fit_marked(texts: list[np.ndarray], marked: np.ndarray, steps: int = 2_000, shrink: float = 0.005) -> tuple[dict[int, float], float]:
+    """Weights by key and intercept of a logistic scorer of marked texts, over the keys that tell them apart.
+
+    Of all keys, those count whose likelihood ratio statistic is above 2 ln(number of keys), what the largest of so many
+    would reach by chance, and that are more frequent in marked texts. Weights are full 64-bit keys', so no two words meet.
+    """
+    rate = (marked.sum() + 0.5) / (len(marked) + 1)
+    base = float(np.log(rate / (1 - rate))) if marked.any() else -10.0
+    if not marked.any() or marked.all():
+        return {}, base
+    keys, row_of = np.unique(np.concatenate(texts), return_inverse=True)
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    both = np.bincount(row_of, marked[rows], len(keys))
+    seen = np.bincount(row_of, minlength=len(keys)).astype(float)
+    n, m = float(len(marked)), float(marked.sum())
+
+    def part(a, expected):
+        return np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    g2 = 2 * (part(both, seen * m / n) + part(seen - both, seen * (n - m) / n) + part(m - both, (n - seen) * m / n) + part(n - m - seen + both, (n - seen) * (n - m) / n))
+    chosen = np.flatnonzero((g2 > 2 * np.log(len(keys))) & (both * n > seen * m))
+    if not len(chosen):
+        return {}, base
+    place = np.full(len(keys), -1)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(texts), len(chosen)))
+    at = place[row_of]
+    x[rows[at >= 0], at[at >= 0]] = 1.0
+    w, b = np.zeros(len(chosen)), base
+    g = np.full(len(chosen) + 1, 1e-8)
+    for _ in range(steps):
+        miss = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - marked
+        step = np.append(x.T @ miss + shrink * w, miss.sum())
+        g += step * step
+        move = 0.5 * step / np.sqrt(g)
+        w, b = w - move[:-1], b - float(move[-1])
+    return dict(zip(keys[chosen].tolist(), w.tolist(), strict=True)), float(b)
+
+
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, passes: int = PASSES, rate: float = 0.15, shrink: float = 2e-4) -> np.ndarray:
     """Logistic regression by AdaGrad in a fixed order; the last weight is the intercept."""
     w, g2 = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-2)
@@ -137,28 +194,27 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
     """doc_id, quality (posterior of the labellers), score, toxicity (hashed linear scorers, 0 to 1), keep, for every row.
 
     Patterns of votes are counted over all documents (at most 3 to the power of the labellers), and EM runs on these
-    counts. The quality scorer learns the posteriors of a bounded sample; the toxicity scorer learns the known labels of
-    one, and is flat if there are none. keep: score at least 0.5 and toxicity below 0.5. Null and empty texts have no
+    counts, with known labels where there are any; no figure that is returned reads the labels of its own row. The quality scorer learns the posteriors of a bounded sample; the toxicity scorer learns the known labels of
+    one, over the words that tell them apart, and is flat if there are none. keep: quality and score at least 0.5, toxicity below. Null and empty texts have no
     words; the labellers alone judge them and they are not kept. Repeated rows are judged alike.
     """
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("l")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("l")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.min(F.col("quality").cast("int")).alias("known"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [bytes(votes(measures(text.as_py())[1], None)) for text in batch.column(1)]
+            out = [bytes(votes(measures(text.as_py())[1])) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], ["doc_id", "votes"])
 
     # texts are read where they lie; only ids and votes meet the labels
     bare = durable(docs.select("doc_id", "text").mapInArrow(vote, "doc_id long, votes binary"), "votes")
-    marked_bad = F.concat(F.substring("votes", 1, len(LABELLERS) - 1), F.lit(bytes([BAD])))
-    voted = bare.join(known, F.col("doc_id") == F.col("l"), "left").withColumn("votes", F.when(F.col("toxic") > 0, marked_bad).otherwise(F.col("votes")))
-    voted = durable(voted.select("doc_id", "toxic", "votes"), "votes")
+    said = F.when(F.col("known").isNull(), ABSTAIN).when(F.col("known") > 0, GOOD).otherwise(BAD)
+    voted = durable(bare.join(known, F.col("doc_id") == F.col("l"), "left").select("doc_id", "toxic", said.alias("known"), "votes"), "votes")
     discard(bare)
-    counted = sorted((bytes(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())
-    patterns = np.array([list(p) for p, _ in counted], np.int64).reshape(len(counted), len(LABELLERS))
-    model = expectation_maximisation(patterns, np.array([n for _, n in counted], float))
-    total, labelled = sum(n for _, n in counted), voted.where("toxic is not null").count()
+    counted = sorted((bytes(r["votes"]), r["known"], r["n"]) for r in voted.groupBy("votes", "known").agg(F.count(F.lit(1)).alias("n")).collect())
+    patterns = np.array([list(p) for p, *_ in counted], np.int64).reshape(len(counted), len(LABELLERS))
+    model = expectation_maximisation(patterns, np.array([n for *_, n in counted], float), np.array([k for _, k, _ in counted], np.int64))
+    total, labelled = sum(n for *_, n in counted), voted.where("toxic is not null").count()
 
     point = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.when(F.col("toxic").isNull(), F.lit(train_docs / 2 / max(1, total - labelled))).otherwise(F.lit(train_docs / max(1, labelled)))
@@ -167,41 +223,40 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
 
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [features(*measures(t)).astype(np.int32).tobytes() for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "votes": f["votes"], "toxic": f["toxic"], "places": out})
+            out = []
+            for text in f["text"]:
+                words, m = measures(text)
+                keys = word_keys(words)
+                out.append((np.array(sorted(keys), np.uint64).tobytes(), places(keys, m).astype(np.int32).tobytes()))
+            yield pd.DataFrame({"doc_id": f["doc_id"], "votes": f["votes"], "toxic": f["toxic"], "keys": [k for k, _ in out], "places": [x for _, x in out]})
 
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("c"))
-    found = picked.select("doc_id", "text", "votes", "toxic").mapInPandas(sample, "doc_id long, votes binary, toxic int, places binary").collect()
-    found.sort(key=lambda r: r["doc_id"])
-    places = [np.frombuffer(r["places"], np.int32) for r in found]
+    found = picked.select("doc_id", "text", "votes", "toxic").mapInPandas(sample, "doc_id long, votes binary, toxic int, keys binary, places binary").collect()
+    discard(voted)
+    found.sort(key=lambda r: (r["doc_id"], r["keys"]))
+    spots = [np.frombuffer(r["places"], np.int32) for r in found]
     post = model.posterior(np.array([list(r["votes"]) for r in found], np.int64).reshape(len(found), len(LABELLERS)))
-    quiet = np.array([list(r["votes"]) for r in found], np.int64).reshape(len(found), len(LABELLERS))
-    quiet[:, LABELLERS.index("toxicity")] = ABSTAIN  # toxicity has a scorer of its own
-    post = model.posterior(quiet) if len(found) else post
-    w_quality = fit_linear(places, post, np.ones(len(places))).astype(np.float32)
-    marked = [i for i, r in enumerate(found) if r["toxic"] is not None]
-    is_toxic = np.array([float(found[i]["toxic"] > 0) for i in marked])
-    w_toxic = np.zeros(FEATURES + 1, np.float32)
-    if is_toxic.any() and not is_toxic.all():
-        w_toxic = fit_linear([places[i] for i in marked], is_toxic, np.where(is_toxic > 0, 3.0, 1.0), passes=10, rate=0.3, shrink=1e-5).astype(np.float32)
-    else:
-        w_toxic[-1] = -10.0
-    shared = spark.sparkContext.broadcast((w_quality, w_toxic, model))  # two weights for each of FEATURES places
+    w_quality = fit_linear(spots, post, np.ones(len(spots))).astype(np.float32)
+    marked = [r for r in found if r["toxic"] is not None]
+    toxic, intercept = fit_marked([np.frombuffer(r["keys"], np.uint64) for r in marked], np.array([float(r["toxic"] > 0) for r in marked]))
+    shared = spark.sparkContext.broadcast((w_quality, toxic, intercept, model))  # a weight for each of FEATURES places, and the chosen keys
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quality_w, toxic_w, labelling = shared.value
+        quality_w, toxic_w, base, labelling = shared.value
+        toxic_keys = toxic_w.keys()
         for batch in batches:
             patterns, q, t, full = [], [], [], []
             for text in batch.column(1):
                 words, m = measures(text.as_py())
-                patterns.append(votes(m, None))
-                at = np.append(features(words, m), FEATURES)
+                patterns.append(votes(m))
+                keys = word_keys(words)
+                at = np.append(places(keys, m), FEATURES)
                 q.append(quality_w[at].sum() / np.sqrt(len(at)))
-                t.append(toxic_w[at].sum() / np.sqrt(len(at)))
+                t.append(base + sum(toxic_w[k] for k in keys & toxic_keys))
                 full.append(bool(words))
             post = labelling.posterior(np.array(patterns, np.int64).reshape(len(patterns), len(LABELLERS)))
             q, t = (1 / (1 + np.exp(-np.clip(np.array(x, float), -30, 30))) for x in (q, t))
-            keep = (q >= 0.5) & (t < 0.5) & np.array(full, bool)
+            keep = (post >= 0.5) & (q >= 0.5) & (t < 0.5) & np.array(full, bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(post), pa.array(q), pa.array(t), pa.array(keep)], ["doc_id", "quality", "score", "toxicity", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, quality double, score double, toxicity double, keep boolean")
