@@ -117,8 +117,9 @@ def small_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
-    return max(1, -(-rows // per_bucket))
+def buckets_for(spark: SparkSession, rows: int, per_bucket: int = 20_000, least: int = 100) -> int:
+    """Buckets of about so many rows, and one for each shuffle partition if that leaves them `least` rows."""
+    return max(1, -(-rows // per_bucket), min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // least))
 
 
 def global_rank(df: DataFrame, bucket: str, order: list[Column], out: str, within: tuple[str, ...] = ()) -> DataFrame:

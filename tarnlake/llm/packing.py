@@ -74,7 +74,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: i
     """
     spark = docs.sparkSession
     pieces = durable(docs.select("doc_id", "text").mapInArrow(tidy(lambda b: piece_rows(b, tokenizer_path, end_id, capacity)), PIECES), "pieces")
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets_for(pieces.count())))
+    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets_for(spark, pieces.count())))
     order: list[Column] = [F.col(c) for c in ("doc_id", "start", "ids_crc32", "doc_tokens")]
     ranked = durable(global_rank(pieces.withColumn("b", bucket), "b", order, "rank", ("k",)).drop("b"), "ranked")
     totals = ranked.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class, at most len(class_counts)

@@ -24,7 +24,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     ).withColumn("mixed", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     total = docs.select(F.lit(1)).count()
-    slices = buckets_for(total)
+    slices = buckets_for(docs.sparkSession, total)
     point = F.conv(F.substring("mixed", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("slice", F.shiftright(point * F.lit(slices), 32))
     ranked = global_rank(rows, "slice", [F.col("mixed"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], "rank", ("source", "unnamed"))
