@@ -127,27 +127,37 @@ def word_keys(words: list[bytes]) -> set[int]:
     return found
 
 
-def places(keys: set[int], m: np.ndarray) -> np.ndarray:
-    """Sorted distinct places of keys, and of the figures in steps."""
-    out = {x % (FEATURES - 256) for x in keys}
+def steps_of(m: np.ndarray) -> np.ndarray:
+    """Places of the figures in steps."""
     edges = ((5, 15, 50, 200), (0.5, 0.8, 1.1, 1.5), (0.1, 0.2, 0.4, 0.7), (0.05, 0.15, 0.4, 0.8), (0.01, 0.05, 0.2, 0.5), (0.01, 0.2, 0.5, 0.8), (2, 4, 8, 14))
-    for k, steps in enumerate(edges):
-        out.add(FEATURES - 256 + 8 * k + int(np.searchsorted(steps, m[k], side="right")))
-    return np.array(sorted(out), np.int64)
+    return np.array([FEATURES - 256 + 8 * k + int(np.searchsorted(steps, m[k], side="right")) for k, steps in enumerate(edges)], np.int64)
+
+
+def places(keys: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Sorted distinct places of keys, and those of the figures."""
+    return np.unique(np.concatenate([(keys % np.uint64(FEATURES - 256)).astype(np.int64), steps]))
 
 
 def fit_marked(texts: list[np.ndarray], marked: np.ndarray, steps: int = 2_000, shrink: float = 0.005) -> tuple[dict[int, float], float]:
     """Weights by key and intercept of a logistic scorer of marked texts, over the keys that tell them apart.
 
-    Of all keys, those count whose likelihood ratio statistic is above 2 ln(number of keys), what the largest of so many
-    would reach by chance, and that are more frequent in marked texts. Weights are full 64-bit keys', so no two words meet.
+    Of the keys of marked texts, those count whose likelihood ratio statistic is above 2 ln(number of keys), what the largest
+    of so many would reach by chance, and that are more frequent there. Weights are full 64-bit keys', so no two words meet.
     """
     rate = (marked.sum() + 0.5) / (len(marked) + 1)
     base = float(np.log(rate / (1 - rate))) if marked.any() else -10.0
     if not marked.any() or marked.all():
         return {}, base
-    keys, row_of = np.unique(np.concatenate(texts), return_inverse=True)
-    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    keys = np.unique(np.concatenate([t for t, x in zip(texts, marked, strict=True) if x]))
+    if not len(keys):
+        return {}, base
+    rows, row_of = [], []
+    for i, t in enumerate(texts):
+        at = np.searchsorted(keys, t)
+        at = at[keys[np.minimum(at, len(keys) - 1)] == t].astype(np.int32)
+        row_of.append(at)
+        rows.append(np.full(len(at), i, np.int32))
+    rows, row_of = np.concatenate(rows), np.concatenate(row_of)
     both = np.bincount(row_of, marked[rows], len(keys))
     seen = np.bincount(row_of, minlength=len(keys)).astype(float)
     n, m = float(len(marked)), float(marked.sum())
@@ -227,14 +237,14 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
             for text in f["text"]:
                 words, m = measures(text)
                 keys = word_keys(words)
-                out.append((np.array(sorted(keys), np.uint64).tobytes(), places(keys, m).astype(np.int32).tobytes()))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "votes": f["votes"], "toxic": f["toxic"], "keys": [k for k, _ in out], "places": [x for _, x in out]})
+                out.append((np.array(sorted(keys), np.uint64).tobytes(), steps_of(m).astype(np.int32).tobytes()))
+            yield pd.DataFrame({"doc_id": f["doc_id"], "votes": f["votes"], "toxic": f["toxic"], "keys": [k for k, _ in out], "steps": [x for _, x in out]})
 
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("c"))
-    found = picked.select("doc_id", "text", "votes", "toxic").mapInPandas(sample, "doc_id long, votes binary, toxic int, keys binary, places binary").collect()
+    found = picked.select("doc_id", "text", "votes", "toxic").mapInPandas(sample, "doc_id long, votes binary, toxic int, keys binary, steps binary").collect()
     discard(voted)
     found.sort(key=lambda r: (r["doc_id"], r["keys"]))
-    spots = [np.frombuffer(r["places"], np.int32) for r in found]
+    spots = [places(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["steps"], np.int32)).astype(np.int32) for r in found]
     post = model.posterior(np.array([list(r["votes"]) for r in found], np.int64).reshape(len(found), len(LABELLERS)))
     w_quality = fit_linear(spots, post, np.ones(len(spots))).astype(np.float32)
     marked = [r for r in found if r["toxic"] is not None]
@@ -250,7 +260,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
                 words, m = measures(text.as_py())
                 patterns.append(votes(m))
                 keys = word_keys(words)
-                at = np.append(places(keys, m), FEATURES)
+                at = np.append(places(np.fromiter(keys, np.uint64, len(keys)), steps_of(m)), FEATURES)
                 q.append(quality_w[at].sum() / np.sqrt(len(at)))
                 t.append(base + sum(toxic_w[k] for k in keys & toxic_keys))
                 full.append(bool(words))
