@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnlake.catalog import register
+from tarnlake.functions.exact import exact_deviation, exact_mean, exact_sum
 from tarnlake.plans.joins import read
 
 # Every supplier is a company of its nation's sector; a year of its lines is a fiscal year, discounts are margins.
@@ -147,7 +148,7 @@ k AS (SELECT c, archetype, CAST(gm BETWEEN lo AND hi AS INTEGER) + CAST(band = w
 SELECT c, archetype, CASE WHEN good = 3 THEN 'consistent' WHEN good = 2 THEN 'partial' ELSE 'inconsistent' END AS status FROM k""")
 def archetype_check(spark, sf_dir):
     """Measured margin, steadiness and turnover against what a company's archetype lets expect."""
-    m = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("c")).agg(F.avg("l_discount").alias("gm"), F.stddev_pop("l_discount").alias("vol"), (F.sum("l_quantity") / F.count("*")).alias("turns"))
+    m = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("c")).agg(exact_mean(F.col("l_discount")).alias("gm"), exact_deviation(F.col("l_discount")).alias("vol"), (exact_sum(F.col("l_quantity")) / F.count("*")).alias("turns"))
     t = m.withColumn("band", F.ntile(3).over(Window.orderBy("vol", "c")))  # a row a company
     a = t.join(read(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("c")).withColumn("archetype", F.col("s_nationkey") % 3)
     expected = spark.createDataFrame([(0, 0.0, 0.050, 1, 10, 26), (1, 0.049, 0.06, 2, 20, 30), (2, 0.04, 0.0505, 3, 25, 40)], "archetype int, lo double, hi double, want int, low int, high int")

@@ -182,3 +182,19 @@ def test_alias_detection_counts_every_pair_block_by_block(spark, tmp_path, monke
     assert {(r.old_code, r.new_code): (r.n, r.shared, r.equal_rate, r.candidates) for r in found.collect()} == want and (50, 51) in want and len(want) > 50
     empty = saved(spark, tmp_path / "none", orders=([], "o_custkey long, o_orderdate timestamp, o_orderpriority string"))
     assert run(spark, "alias_detection", empty).count() == 0
+
+
+def line_copies(keys, nation, years=(1998,), seed=7):
+    """lineitem and supplier in which all keys have the same lines of every year, each in an order of its own."""
+    rng = random.Random(seed)
+    discounts = [rng.randrange(11) / 100 for _ in range(60)]
+    discounts += [round(0.1 - d, 2) for d in discounts]  # 0.05 on the whole
+    prices = [round(rng.uniform(900, 90_000), 2) for _ in discounts]
+    lines = [(k, d, p, 20.0, 0.02, datetime.datetime(y, 6, 1)) for k in keys for y in years for d, p in rng.sample(list(zip(discounts, prices, strict=True)), len(prices))]
+    return {"lineitem": (lines, "l_suppkey long, l_discount double, l_extendedprice double, l_quantity double, l_tax double, l_shipdate timestamp"), "supplier": ([(k, nation) for k in keys], "s_suppkey long, s_nationkey int")}
+
+
+def test_equal_steadiness_is_ranked_by_key(spark, tmp_path):
+    folder = saved(spark, tmp_path, **line_copies(range(1, 31), 0))
+    got = {r.c: r.status for r in run(spark, "archetype_check", folder).collect()}
+    assert got == {k: "consistent" if k <= 20 else "partial" for k in range(1, 31)}
