@@ -108,7 +108,9 @@ def moat_width(spark, sf_dir):
 
 
 def _moats(spark, sf_dir):
-    r = _years(spark, sf_dir).select("c", "y", (F.col("gm") * 100 + F.col("c") % 13 - 3 + (F.col("y") - 1998) * (F.col("c") % 5 - 2) * 0.4).alias("roic"))
+    f = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("c"), F.year("l_shipdate").cast("long").alias("y")).agg(exact_mean(F.col("l_discount")).alias("gm"))
+    drift = (F.col("y") - 1998) * (F.col("c") % 5 - 2) * 4 / F.lit(10.0)  # 0.4 as a decimal
+    r = f.select("c", "y", (F.col("gm") * 100 + F.col("c") % 13 - 3 + drift).alias("roic"))
     l = r.withColumn("d", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("y")))).where("d <= 6")  # noqa: E741
     l = l.withColumn("size", F.count("*").over(Window.partitionBy("c")))  # noqa: E741
     late, early = F.avg(F.when(F.col("d") <= 3, F.col("roic"))), F.avg(F.when(F.col("size") - F.col("d") < 3, F.col("roic")))

@@ -198,3 +198,9 @@ def test_equal_steadiness_is_ranked_by_key(spark, tmp_path):
     folder = saved(spark, tmp_path, **line_copies(range(1, 31), 0))
     got = {r.c: r.status for r in run(spark, "archetype_check", folder).collect()}
     assert got == {k: "consistent" if k <= 20 else "partial" for k in range(1, 31)}
+
+
+def test_returns_at_the_threshold_count_in_any_order_of_lines(spark, tmp_path):
+    keys = [32 + 65 * i for i in range(12)]  # 0.05 * 100 + 6 - 3 is 8, without a drift
+    folder = saved(spark, tmp_path, **line_copies(keys, 4, range(1995, 2000)))
+    assert {r.c: (r.width, r.trend_pp) for r in run(spark, "moat_width", folder).collect()} == dict.fromkeys(keys, ("narrow", 0.0))
