@@ -319,7 +319,7 @@ v AS (SELECT c, CASE WHEN gm > mid THEN 1 WHEN gm < mid THEN -1 ELSE 0 END AS p1
 SELECT c, score, CASE WHEN votes < 2 THEN 'insufficient' WHEN score >= 2 THEN 'maker' WHEN score = 1 THEN 'lean_maker' WHEN score <= -2 THEN 'taker' WHEN score = -1 THEN 'lean_taker' ELSE 'middle' END AS label, CASE WHEN votes = 0 THEN 0.0 ELSE round(abs(score) / CAST(votes AS DOUBLE), 4) END AS confidence FROM s""")
 def pricing_power(spark, sf_dir):
     """Signals as votes for and against, summed to a label; confidence is the share of cast votes on the winning side's margin."""
-    m = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("c")).agg(F.avg("l_discount").alias("gm"), F.stddev_pop("l_discount").alias("sd"), F.corr("l_discount", "l_extendedprice").alias("beta"))
+    m = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("c")).agg(exact_mean(F.col("l_discount")).alias("gm"), exact_deviation(F.col("l_discount")).alias("sd"), F.corr("l_discount", "l_extendedprice").alias("beta"))
     peers = Window.partitionBy("s_nationkey")
     p = m.join(read(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("c")).withColumn("mid", F.median("gm").over(peers)).withColumn("steady", F.median("sd").over(peers))
     vote = lambda up, down: F.when(up, 1).when(down, -1).otherwise(0)

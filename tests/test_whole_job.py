@@ -204,3 +204,9 @@ def test_returns_at_the_threshold_count_in_any_order_of_lines(spark, tmp_path):
     keys = [32 + 65 * i for i in range(12)]  # 0.05 * 100 + 6 - 3 is 8, without a drift
     folder = saved(spark, tmp_path, **line_copies(keys, 4, range(1995, 2000)))
     assert {r.c: (r.width, r.trend_pp) for r in run(spark, "moat_width", folder).collect()} == dict.fromkeys(keys, ("narrow", 0.0))
+
+
+def test_equal_peers_cast_no_votes(spark, tmp_path):
+    folder = saved(spark, tmp_path, **line_copies(range(1, 31), 4))
+    rows = run(spark, "pricing_power", folder).collect()
+    assert len(rows) == 30 and {r.label for r in rows} == {"insufficient"} and len({r.score for r in rows}) == 1
