@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tarnlake.catalog import register
 from tarnlake.functions import dates as D
+from tarnlake.functions.exact import round_half
 from tarnlake.operators import pit as P
 from tarnlake.plans.joins import read
 
@@ -36,8 +37,8 @@ def _statements(spark, sf_dir):
 def _versions(spark, sf_dir):
     """Long statement versions; one in six is restated 150 days later."""
     long = _statements(spark, sf_dir).unpivot(["code", "period", "known_on"], ["revenue", "cost", "profit"], "field", "value").select("code", "field", "period", "known_on", "value")
-    first = long.select("code", "field", "period", "known_on", F.lit(0).alias("flag"), F.round("value", 4).alias("value"))
-    again = long.where((F.col("code") + F.col("period")) % 6 == 0).select("code", "field", "period", F.date_add("known_on", 150).alias("known_on"), F.lit(1).alias("flag"), F.round(F.col("value") * 1.1, 4).alias("value"))
+    first = long.select("code", "field", "period", "known_on", F.lit(0).alias("flag"), round_half(F.col("value"), 4).alias("value"))
+    again = long.where((F.col("code") + F.col("period")) % 6 == 0).select("code", "field", "period", F.date_add("known_on", 150).alias("known_on"), F.lit(1).alias("flag"), round_half(F.col("value") * 1.1, 4).alias("value"))
     return first.unionByName(again)
 
 
@@ -93,7 +94,7 @@ def company_cycle(spark, sf_dir):
     """Each company's latest quarter, trailing sums and long-run norms, as known on a day."""
     out = P.cycle_panel(_wide(spark, sf_dir)).drop("core_ttm").withColumn("n_years", F.col("n_years").cast("long"))
     money = ("rev_q", "np_q", "rev_ttm", "np_ttm", "np_med")
-    return out.select(*[(F.round(c, 4 if c in money else 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    return out.select(*[(round_half(F.col(c), 4 if c in money else 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @register("quarter_history", f"{_WIDE} SELECT code, period, round(revenue, 4) AS rev_q, round(1 - CASE WHEN revenue > 0 THEN cost / revenue END, 6) AS gm_q, round(profit, 4) AS np_q FROM qs QUALIFY row_number() OVER (PARTITION BY code ORDER BY period DESC) <= 12")

@@ -210,3 +210,18 @@ def test_equal_peers_cast_no_votes(spark, tmp_path):
     folder = saved(spark, tmp_path, **line_copies(range(1, 31), 4))
     rows = run(spark, "pricing_power", folder).collect()
     assert len(rows) == 30 and {r.label for r in rows} == {"insufficient"} and len({r.score for r in rows}) == 1
+
+
+def test_restated_figures_are_rounded_as_in_the_sql(spark, tmp_path):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def by_multiple(x):
+        y = x * 1e4
+        return (math.trunc(y) + (abs(y - math.trunc(y)) >= 0.5)) / 1e4
+
+    by_digits = lambda x: float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+    prices = [p for p in (i / 100 for i in range(100_001, 400_000)) if by_multiple(0.05 * p * 1.1) != by_digits(0.05 * p * 1.1)][:40]
+    rows = [(i, 2 + 6 * i, p, "O", datetime.datetime(1999, 2, 1)) for i, p in enumerate(prices)]  # a restated first quarter
+    folder = saved(spark, tmp_path, orders=(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderdate timestamp"))
+    got = {r.code: r.np_q for r in run(spark, "company_cycle", folder).collect()}
+    assert len(prices) == 40 and got == {2 + 6 * i: by_multiple(0.05 * p * 1.1) for i, p in enumerate(prices)}
